@@ -1,15 +1,17 @@
 """Exact order statistics and percentiles without sorting a whole group.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer.  Here a bounded sketch brackets the wanted rank, a second
-pass counts what lies below the bracket, and only the distinct values inside
-the bracket are ranked.  Groups up to ``SMALL`` rows use [min, max] as bracket.
+aggregation buffer.  Here a bounded sketch brackets each wanted rank, a second
+pass collapses everything outside the brackets into counts, and only the
+distinct values inside the brackets are ranked.  Groups up to ``SMALL`` rows
+use [min, max] as bracket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,80 +22,92 @@ ACCURACY = 1_000_000  # sketch error: 1e-6 of the group
 MARGIN = 4e-6  # bracket half-width, wider than the sketch error
 
 
-def _bracketed(df: DataFrame, col: str, by: list[str], p: float) -> DataFrame:
-    lo_p, hi_p = max(0.0, p - MARGIN), min(1.0, p + MARGIN)
-    sketch = F.percentile_approx(col, [lo_p, hi_p], ACCURACY)
-    bounds = (
-        df.filter(F.col(col).isNotNull() & ~F.isnan(col))
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("_min"), F.max(col).alias("_max"),
-             sketch.alias("_q"))
-    )
-    small = F.col("_n") <= SMALL
-    return bounds.select(
-        *by,
-        "_n",
-        F.when(small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
-    )
-
+def ranked_values(
+    df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float], small: int = SMALL
+) -> DataFrame:
+    """Distinct values near the wanted ranks with the rank range [first, last] they fill.
 
-def _ranked(df: DataFrame, col: str, by: list[str], bounds: DataFrame) -> DataFrame:
-    """Distinct values in the bracket with the rank range [_first, _last] they fill.
-
-    Rows below the bracket collapse into one record carrying their count and sum.
+    Columns: by, ``_v`` (null on a record that stands for many values outside the
+    brackets), ``_c`` count, ``_s`` sum, ``_n`` group size, ``_first``, ``_last``.
     """
-    x = F.col(col)
-    inside = x >= F.col("_lo")
+    x = F.col("_x")
+    slim = df.select(*by, F.col(col).cast("double").alias("_x")).filter(x.isNotNull() & ~F.isnan(x))
+    edges = [min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)]
+    bounds = slim.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_x").alias("_min"),
+        F.max("_x").alias("_max"),
+        F.percentile_approx("_x", edges, ACCURACY).alias("_q"),
+    )
+    few = F.col("_n") <= small
+    lo = [F.when(few, F.col("_min")).otherwise(F.col("_q")[2 * i]) for i in range(len(probs))]
+    hi = [F.when(few, F.col("_max")).otherwise(F.col("_q")[2 * i + 1]) for i in range(len(probs))]
+    inside = reduce(or_, [(x >= a) & (x <= b) for a, b in zip(lo, hi)])
+    gap = sum((F.when(x > b, 1).otherwise(0) for b in hi), F.lit(0))
     values = (
-        df.filter(x.isNotNull() & ~F.isnan(x))
-        .join(bounds, by)
-        .filter(x <= F.col("_hi"))
-        .groupBy(*by, F.when(inside, x).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.sum(x).alias("_s"), F.first("_n").alias("_n"))
+        slim.join(bounds, list(by))
+        .groupBy(*by, gap.alias("_gap"), F.when(inside, x).alias("_v"))
+        .agg(
+            F.count(F.lit(1)).alias("_c"),
+            F.sum(x).alias("_s"),
+            F.min(x).alias("_at"),
+            F.first("_n").alias("_n"),
+        )
     )
-    w = W.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*by).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     return values.withColumn("_last", F.sum("_c").over(w)).withColumn(
         "_first", F.col("_last") - F.col("_c") + 1
     )
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def _at(rank):
+    """Value at a 1-based rank, as an aggregate."""
+    return F.max(F.when((F.col("_first") <= rank) & (F.col("_last") >= rank), F.col("_v")))
+
+
+def exact_quantiles(
+    df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), small: int = SMALL
+) -> DataFrame:
     """Per group, the linearly interpolated quantiles ``q_0, q_1, ...`` of ``col``."""
-    by = list(by)
     if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), col, probs, ["_all"]).drop("_all")
-    slim = df.select(*by, F.col(col).cast("double").alias("_x"))
-    parts = []
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), col, probs, ["_all"], small).drop("_all")
+    n = F.col("_n")
+    aggs = []
     for i, p in enumerate(probs):
-        ranked = _ranked(slim, "_x", by, _bracketed(slim, "_x", by, p))
-        h = (F.col("_n") - 1) * F.lit(float(p))
+        h = (n - 1) * F.lit(float(p))
         low = F.floor(h + F.lit(1e-9))
-
-        def holds(rank):
-            return (F.col("_first") <= rank) & (F.col("_last") >= rank) & F.col("_v").isNotNull()
-
-        parts.append(
-            ranked.groupBy(*by).agg(
-                F.max(F.when(holds(low + 1), F.col("_v"))).alias("_a"),
-                F.max(F.when(holds(F.least(low + 2, F.col("_n"))), F.col("_v"))).alias("_b"),
-                F.greatest(F.first(h - low), F.lit(0.0)).alias("_f"),
-            ).select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(f"q_{i}"))
+        aggs += [
+            _at(low + 1).alias(f"_a{i}"),
+            _at(F.least(low + 2, n)).alias(f"_b{i}"),
+            F.first(F.greatest(h - low, F.lit(0.0))).alias(f"_f{i}"),
+        ]
+    return (
+        ranked_values(df, col, by, probs, small)
+        .groupBy(*by)
+        .agg(*aggs)
+        .select(
+            *by,
+            *(F.expr(f"_a{i} + (_b{i} - _a{i}) * _f{i}").alias(f"q_{i}") for i in range(len(probs))),
         )
-    return reduce(lambda a, b: a.join(b, by), parts)
+    )
 
 
-def lower_tail(df: DataFrame, col: str, by: Sequence[str], share: float) -> DataFrame:
+def lower_tail(
+    df: DataFrame, col: str, by: Sequence[str], share: float, small: int = SMALL
+) -> DataFrame:
     """k = int(share * n): the value at 0-based rank k, and the mean of the k values before it."""
-    by = list(by)
-    slim = df.select(*by, F.col(col).cast("double").alias("_x"))
-    ranked = _ranked(slim, "_x", by, _bracketed(slim, "_x", by, share))
     k = F.floor(F.lit(share) * F.col("_n"))
     taken = F.greatest(F.least(F.col("_last"), k) - F.col("_first") + 1, F.lit(0))
-    part = F.when(F.col("_v").isNull(), F.col("_s")).otherwise(taken * F.col("_v"))
-    at_k = (F.col("_first") <= k + 1) & (F.col("_last") >= k + 1)
-    return ranked.groupBy(*by).agg(
-        F.first("_n").alias("n"),
-        F.max(F.when(at_k, F.col("_v"))).alias("at_rank"),
-        F.try_divide(F.sum(part), F.first(k)).alias("mean_before"),
+    outside = F.when(F.col("_last") <= k, F.col("_s")).otherwise(0.0)
+    part = F.when(F.col("_v").isNull(), outside).otherwise(taken * F.col("_v"))
+    return (
+        ranked_values(df, col, by, [share], small)
+        .groupBy(*by)
+        .agg(
+            F.first("_n").alias("n"),
+            _at(k + 1).alias("at_rank"),
+            F.sum(part).alias("_sum"),
+            F.first(k).alias("_k"),
+        )
+        .select(*by, "n", "at_rank", F.try_divide("_sum", "_k").alias("mean_before"))
     )
