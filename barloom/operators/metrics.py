@@ -78,15 +78,14 @@ def training_summary(results: DataFrame, requested: DataFrame | None = None) ->
     )
     if requested is None:
         return summary
-    total = requested.agg(F.count_distinct("symbol").alias("requested"))
-    # Both sides are one row.
-    return summary.join(F.broadcast(total)).withColumn(
+    total = requested.agg(F.count_distinct("symbol"))
+    return summary.withColumn("requested", total.scalar()).withColumn(
         "success_rate", F.try_divide(F.col("models") * 100.0, F.col("requested"))
     )
 
 
 def ingest_summary(bars: DataFrame) -> DataFrame:
-    """Rows and time range per symbol, with the table total (symbol is null there)."""
+    """Rows and time range per symbol."""
     return bars.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("records"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
@@ -94,11 +93,8 @@ def ingest_summary(bars: DataFrame) -> DataFrame:
 
 def ingest_totals(bars: DataFrame) -> DataFrame:
     return bars.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.approx_count_distinct("symbol").alias("symbols_estimate"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-    ).drop("symbols_estimate")
+        F.count(F.lit(1)).alias("total_records"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
 
 
 def ingest_report(requested: DataFrame, loaded: DataFrame, show: int = 10) -> DataFrame:
@@ -109,10 +105,10 @@ def ingest_report(requested: DataFrame, loaded: DataFrame, show: int = 10) -> Da
         F.count(F.lit(1)).alias("requested"), F.count("_ok").alias("successful")
     )
     failed = missing_keys(requested, loaded, ["symbol"]).orderBy("symbol").limit(show)
-    names = failed.agg(F.array_sort(F.collect_list("symbol")).alias("failed_symbols"))
-    # Both sides are one row.
-    return counts.join(F.broadcast(names)).withColumns(
+    names = failed.agg(F.array_sort(F.collect_list("symbol")))
+    return counts.withColumns(
         {
+            "failed_symbols": names.scalar(),
             "failed": F.col("requested") - F.col("successful"),
             "success_rate": F.try_divide(F.col("successful") * 100.0, F.col("requested")),
         }

@@ -139,8 +139,10 @@ def flag_outliers(df: DataFrame, column: str, method="iqr", threshold: float = 3
         flag = F.abs(F.try_divide(x - F.col("q_0"), F.col("q_1"))) > threshold
     else:
         raise ValueError(f"Unknown method: {method}")
-    # Without groups the statistics are a single row.
-    joined = df.join(stats, by, "left") if by else df.join(F.broadcast(stats), how="left")
+    if by:
+        joined = df.join(stats, by, "left")
+    else:
+        joined = df.withColumn("_s", stats.select(F.struct("q_0", "q_1")).scalar()).select("*", "_s.*").drop("_s")
     return joined.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("q_0", "q_1")
 
 
