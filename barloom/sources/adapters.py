@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.options import with_values
@@ -70,12 +71,10 @@ def priced_quotes(spark, sf_dir) -> DataFrame:
 
 def universe(spark, sf_dir) -> DataFrame:
     """sector, rank, symbol: the distinct (type, brand) pairs, ranked by brand."""
-    from pyspark.sql import Window as W
-
     pairs = table(spark, sf_dir, "part").select(
         F.col("p_type").alias("sector"), F.col("p_brand").alias("symbol")
     ).distinct()
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("sector").orderBy("symbol")))
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("sector").orderBy("symbol")).cast("bigint"))
 
 
 def legs_input(spark, sf_dir) -> DataFrame:
