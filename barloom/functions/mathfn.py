@@ -47,6 +47,11 @@ def horner(coefficients, x):
     return total
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for bodies that use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_pdf(x) -> Column:
     x = col(x)
     return F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
@@ -76,8 +81,8 @@ def norm_ppf(p) -> Column:
     s = F.sqrt(-2.0 * F.ln(tail_p))
     tail = horner(ACKLAM_C, s) / (horner(ACKLAM_D, s) * s + 1.0)
     start = F.when(tail_p >= ACKLAM_LOW, middle).when(p < 0.5, tail).otherwise(-tail)
-    # One Newton step.
-    refined = start - (norm_cdf(start) - p) / norm_pdf(start)
+    # One Newton step from the approximation.
+    refined = let(start, lambda x: x - (norm_cdf(x) - p) / norm_pdf(x))
     return (
         F.when((p > 0) & (p < 1), refined)
         .when(p == 0, F.lit(float("-inf")))
