@@ -61,7 +61,11 @@ add("v01_validate_bars", lambda s, d: _masked(va.validate_bars(_bad_bars(s, d)))
 
 
 def _bad_quotes(s, d):
-    q = a.quotes(s, d)
+    return spoil_quotes(a.quotes(s, d))
+
+
+def spoil_quotes(q):
+    """Break some rule for the smallest volumes."""
     n = F.col("volume")
     mid = F.col("underlying_price") * F.col("implied_volatility")
     return q.withColumns({
@@ -137,12 +141,17 @@ add("v05_outliers_zscore", lambda s, d: va.flag_outliers(a.table(s, d, "lineitem
 
 
 def _stamps(s, d):
+    return with_stamps(a.table(s, d, "events"))
+
+
+def with_stamps(events):
+    """Event times as text, every tenth unreadable."""
     ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     text = F.when(F.col("event_id") % 10 == 0, F.lit("yesterday")).otherwise(ts)
-    return a.table(s, d, "events").select("event_id", text.alias("timestamp"))
+    return events.select("event_id", text.alias("timestamp"))
 
 
-NOON = "2024-01-25 12:00:00"
+NOON = "2024-01-25 12:00:00.5"  # half a second off, so that no age is an exact tie of the printed digit
 add("v06_validate_timestamps", lambda s, d: _text(va.validate_timestamps(_stamps(s, d), NOON)), ("event_id", *CHECKED), (),
     f"""SELECT *, problems = '' AS is_valid FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'Invalid timestamp format'
         WHEN age > 86400 THEN printf('Timestamp too old: %.1f hours', age / 3600)

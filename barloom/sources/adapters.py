@@ -16,8 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream.  The glob lets the source accept a single file too."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def ticks(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return ticks_from(table(spark, sf_dir, "events"))
+
+
+def ticks_from(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("symbol"),
         F.col("value").alias("price"),
@@ -40,12 +50,11 @@ def bars_daily(spark, sf_dir) -> DataFrame:
 
 
 def quotes(spark, sf_dir) -> DataFrame:
+    return quotes_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def quotes_from(line: DataFrame, part: DataFrame) -> DataFrame:
     """Quotes with underlying price, true volatility and years to expiry; no model price yet."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount",
-        "l_linestatus", "l_shipdate",
-    )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
     c = F.col
     return line.join(part, c("l_partkey") == c("p_partkey")).select(
         c("l_shipdate").cast("timestamp").alias("ts"),

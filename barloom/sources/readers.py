@@ -46,10 +46,10 @@ def read_quote_stream(spark, fmt="kafka", options=None, path=None) -> DataFrame:
 
 def read_symbol_csvs(spark: SparkSession, path: str, schema: T.StructType | None = None,
                      suffix_pattern: str = r"([^/]+?)(?:_\w+)?\.csv$", ts: str = "timestamp") -> DataFrame:
-    """One CSV per symbol: symbol from the file name, lower-case columns, parsed time."""
+    """CSV files per symbol: symbol from the file's path, lower-case columns, parsed time."""
     reader = spark.read.option("header", True)
     raw = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    symbol = F.regexp_extract(F.col("_metadata.file_name"), suffix_pattern, 1)
+    symbol = F.regexp_extract(F.col("_metadata.file_path"), suffix_pattern, 1)
     with_symbol = raw.select("*", symbol.alias("symbol"))
     lower = with_symbol.toDF(*[c.lower() for c in with_symbol.columns])
     return lower.withColumn(ts, F.col(ts).cast("timestamp")).withColumnRenamed(ts, "ts")
