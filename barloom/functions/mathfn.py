@@ -32,6 +32,23 @@ ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
             3.754408661907416e00)
 ACKLAM_LOW = 0.02425
 
+NORM = 1.0 / math.sqrt(2.0 * math.pi)
+
+
+def _tail_polynomials():
+    """The tail's continued fraction z + 1/(z + 2/(z + 3/(z + 4/(z + 0.65)))) as a ratio."""
+    top, bottom = [1.0, 0.65], [1.0]
+    for k in (4.0, 3.0, 2.0, 1.0):
+        longer = [*top, 0.0]
+        shift = len(longer) - len(bottom)
+        for i, b in enumerate(bottom):
+            longer[shift + i] += k * b
+        top, bottom = longer, top
+    return top, bottom
+
+
+FRACTION_TOP, FRACTION_BOTTOM = _tail_polynomials()
+
 
 def col(x) -> Column:
     """Column name, number or Column -> Column."""
@@ -54,20 +71,30 @@ def let(value: Column, body) -> Column:
 
 def norm_pdf(x) -> Column:
     x = col(x)
-    return F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
+    return F.exp(-x * x / 2.0) * NORM
+
+
+def known(x: Column, default=0.0) -> Column:
+    """``x`` as a value Spark knows to be non-null, which keeps generated code small.
+
+    A long formula over nullable values produces methods beyond the size the JVM compiles.
+    """
+    return F.coalesce(x, F.lit(default))
+
+
+def upper_tail(z: Column, e: Column) -> Column:
+    """P(X > z) for non-null z >= 0 with e = exp(-z*z/2)."""
+    near = known(e * horner(WEST_NUMERATOR, z) / horner(WEST_DENOMINATOR, z))
+    far = known(e * horner(FRACTION_BOTTOM, z) / horner(FRACTION_TOP, z)) * (1.0 / WEST_TAIL)
+    return F.when(z < WEST_SWITCH, near).otherwise(far)
 
 
 def norm_cdf(x) -> Column:
     x = col(x)
-    z = F.abs(x)
-    e = F.exp(-z * z / 2.0)
-    near = e * horner(WEST_NUMERATOR, z) / horner(WEST_DENOMINATOR, z)
-    fraction = z + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        fraction = z + F.lit(k) / fraction
-    far = e / fraction / WEST_TAIL
-    upper = F.when(z > 37.0, 0.0).when(z < WEST_SWITCH, near).otherwise(far)
-    return F.when(x > 0, 1.0 - upper).otherwise(upper)
+    safe = known(x)
+    z = F.least(F.abs(safe), F.lit(38.0))
+    tail = upper_tail(z, F.exp(-z * z / 2.0))
+    return F.when(x.isNotNull(), F.when(safe > 0, 1.0 - tail).otherwise(tail))
 
 
 def norm_ppf(p) -> Column:

@@ -1,8 +1,8 @@
 """Black-Scholes prices and Greeks over quote tables.
 
-Every function takes column names, Columns or numbers.  ``with_greeks`` and
-``with_prices`` keep d1, d2 and the two normal terms as columns of their own, so
-the long CDF expression enters the plan once.
+Every function takes column names, Columns or numbers.  ``with_values`` keeps d1, d2 and
+the two normal terms as columns of their own, so the long CDF expression enters the plan
+once.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.mathfn import (
+    NORM,
     WEST_DENOMINATOR,
     WEST_NUMERATOR,
     WEST_SWITCH,
     WEST_TAIL,
     col,
     horner,
-    norm_cdf,
-    norm_pdf,
+    known,
     norm_ppf,
+    upper_tail,
 )
 
 RATE, DIVIDEND = 0.05, 0.02
@@ -60,36 +61,30 @@ def years_to(expiration, ts) -> Column:
     return (as_seconds[0] - as_seconds[1]) / YEAR_SECONDS
 
 
-def _terms(s, k, t, r, q, option_type):
-    """Price and Greeks written over the working columns _d1, _d2, _n1, _n2, _pdf."""
-    s, k, t, r, q = map(col, (s, k, t, r, q))
-    sigma = F.col("_sigma")
-    call, live = is_call(option_type), t > 0
-    carry, discount = F.exp(-q * t), F.exp(-r * t)
-    n1, n2, pdf = F.col("_n1"), F.col("_n2"), F.col("_pdf")
-    m1, m2 = 1.0 - n1, 1.0 - n2
-    decay = -s * carry * pdf * sigma / (2.0 * F.sqrt(F.when(live, t)))
-    call_theta = decay - r * k * discount * n2 + q * s * carry * n1
-    put_theta = decay + r * k * discount * m2 - q * s * carry * m1
-    return {
-        "price": F.when(~live, intrinsic(s, k, option_type))
-        .when(call, s * carry * n1 - k * discount * n2)
-        .otherwise(k * discount * m2 - s * carry * m1),
-        # An expired option has delta 1 only as an in-the-money call.
-        "delta": F.when(~live, F.when(call & (s > k), 1.0).otherwise(0.0))
-        .when(call, carry * n1)
-        .otherwise(-carry * m1),
-        "gamma": F.when(~live, 0.0).otherwise(
-            F.try_divide(carry * pdf, s * sigma * F.sqrt(F.when(live, t)))
-        ),
-        "vega": F.when(~live, 0.0).otherwise(s * carry * pdf * F.sqrt(F.when(live, t)) / 100.0),
-        "theta": F.when(~live, 0.0).otherwise(
-            F.when(call, call_theta).otherwise(put_theta) / 365.0
-        ),
-        "rho": F.when(~live, 0.0)
-        .when(call, k * t * discount * n2 / 100.0)
-        .otherwise(-k * t * discount * m2 / 100.0),
+def _terms(option_type):
+    """Price and Greeks over the working columns, none of which is null."""
+    c = F.col
+    s, k, t, r, q, v, root = (c(f"_{n}") for n in ("s", "k", "t", "r", "q", "v", "root"))
+    n1, n2, pdf, carry, discount = (c(f"_{n}") for n in ("n1", "n2", "pdf", "carry", "discount"))
+    call = known(is_call(option_type), False)
+    decay = known(-s * carry * pdf * v / root) * 0.5
+    side = F.when(call, 1.0).otherwise(-1.0)
+    # N(d) for calls and -N(-d) for puts.
+    w1, w2 = (F.when(call, n).otherwise(n - 1.0) for n in (n1, n2))
+    live = {
+        "price": s * carry * w1 - k * discount * w2,
+        "delta": carry * w1,
+        "gamma": known(carry * pdf / (s * v * root)),
+        "vega": s * carry * pdf * root * 0.01,
+        "theta": (decay - r * k * discount * w2 + q * s * carry * w1) * (1.0 / 365.0),
+        "rho": k * t * discount * w2 * 0.01,
     }
+    # An expired option is worth its intrinsic value and has delta 1 only as an in-the-money call.
+    expired = {
+        "price": F.greatest((s - k) * side, F.lit(0.0)),
+        "delta": F.when(call & (s > k), 1.0).otherwise(0.0),
+    }
+    return live, expired
 
 
 def with_values(
@@ -103,18 +98,43 @@ def with_values(
     r=RATE,
     q=DIVIDEND,
 ) -> DataFrame:
-    """Append the wanted outputs; a null volatility gives nulls."""
-    staged = (
-        df.withColumn("_sigma", col(sigma))
-        .withColumn("_d1", d1(s, k, t, r, F.col("_sigma"), q))
-        .withColumn("_d2", F.col("_d1") - F.col("_sigma") * F.sqrt(F.when(col(t) > 0, col(t))))
-        .withColumns({"_n1": norm_cdf("_d1"), "_n2": norm_cdf("_d2"), "_pdf": norm_pdf("_d1")})
+    """Append the wanted outputs; a null volatility, price, strike or time gives nulls.
+
+    Nulls are replaced before the arithmetic and put back after it.  The steps are columns
+    of their own, so each is computed once.
+    """
+    inputs = {"s": s, "k": k, "t": t, "v": sigma, "r": r, "q": q}
+    varying = {n: col(x) for n, x in inputs.items() if not isinstance(x, (int, float))}
+    c = F.col
+    given, positive = F.lit(True), F.lit(True)
+    for n, x in varying.items():
+        given = given & x.isNotNull()
+        positive = positive & (x > 0) if n in "skv" else positive
+    t = col(t)
+    # 1: live, 2: expired, 0: an input is missing, or a price or volatility is not positive.
+    mode = F.when(~given, 0).when(t <= 0, 2).when(positive, 1).otherwise(0)
+    staged = df.withColumn("_mode", mode)
+    staged = staged.withColumns(
+        {f"_{n}": known(F.when(c("_mode") == 1, x), 1.0) for n, x in varying.items() if n in "tv"}
+        | {f"_{n}": known(x, 1.0) for n, x in varying.items() if n not in "tv"}
+        | {f"_{n}": F.lit(float(x)) for n, x in inputs.items() if n not in varying}
     )
-    terms = _terms(s, k, t, r, q, option_type)
-    known = F.col("_sigma").isNotNull()
-    return staged.withColumns({o: F.when(known, terms[o]) for o in outputs}).drop(
-        "_sigma", "_d1", "_d2", "_n1", "_n2", "_pdf"
+    staged = staged.withColumn("_root", F.sqrt("_t"))
+    numerator = known(F.ln(known(c("_s") / c("_k"), 1.0))) + (c("_r") - c("_q") + c("_v") * c("_v") * 0.5) * c("_t")
+    staged = staged.withColumn("_d1", known(numerator / (c("_v") * c("_root"))))
+    staged = staged.withColumn("_d2", c("_d1") - c("_v") * c("_root"))
+    staged = staged.withColumns({f"_z{i}": F.least(F.abs(f"_d{i}"), F.lit(38.0)) for i in (1, 2)})
+    staged = staged.withColumns({f"_e{i}": F.exp(c(f"_z{i}") * c(f"_z{i}") * -0.5) for i in (1, 2)})
+    staged = staged.withColumns({f"_u{i}": upper_tail(c(f"_z{i}"), c(f"_e{i}")) for i in (1, 2)})
+    staged = staged.withColumns(
+        {f"_n{i}": F.when(c(f"_d{i}") > 0, 1.0 - c(f"_u{i}")).otherwise(c(f"_u{i}")) for i in (1, 2)}
+        | {"_pdf": c("_e1") * NORM, "_carry": F.exp(-c("_q") * c("_t")), "_discount": F.exp(-c("_r") * c("_t"))}
     )
+    live, expired = _terms(option_type)
+    final = {
+        o: F.when(c("_mode") == 1, live[o]).when(c("_mode") == 2, expired.get(o, F.lit(0.0))) for o in outputs
+    }
+    return staged.select(*df.columns, *[final[o].alias(o) for o in outputs])
 
 
 def with_greeks(quotes: DataFrame, r=RATE, q=DIVIDEND, ts="ts") -> DataFrame:

@@ -10,26 +10,28 @@ import math
 
 from pyspark.sql import SparkSession
 
-from barloom.functions.mathfn import WEST_DENOMINATOR, WEST_NUMERATOR, WEST_SWITCH, WEST_TAIL
+from barloom.functions.mathfn import (
+    FRACTION_BOTTOM,
+    FRACTION_TOP,
+    WEST_DENOMINATOR,
+    WEST_NUMERATOR,
+    WEST_SWITCH,
+    WEST_TAIL,
+)
 from barloom.functions.options import implied_vol_udf
 
 
 def _poly(coefficients) -> str:
-    text = f"{coefficients[0]!r}D"
-    for c in coefficients[1:]:
-        text = f"({text} * abs(x) + {c!r}D)"
-    return text
+    return horner([f"{c!r}D" for c in coefficients], "z")
 
 
-_FRACTION = "(abs(x) + 0.65D)"
-for _k in (4, 3, 2, 1):
-    _FRACTION = f"(abs(x) + {_k}D / {_FRACTION})"
+def horner(parts, z) -> str:
+    text = parts[0]
+    for c in parts[1:]:
+        text = f"({text} * {z} + {c})"
+    return text
+
 
-_TAIL = (
-    f"CASE WHEN abs(x) > 37D THEN 0D WHEN abs(x) < {WEST_SWITCH}D "
-    f"THEN exp(-x * x / 2D) * {_poly(WEST_NUMERATOR)} / {_poly(WEST_DENOMINATOR)} "
-    f"ELSE exp(-x * x / 2D) / {_FRACTION} / {WEST_TAIL}D END"
-)
 _ROOT = "sqrt(CASE WHEN T > 0D THEN T END)"
 _QUOTE = "S DOUBLE, K DOUBLE, T DOUBLE, r DOUBLE, sigma DOUBLE"
 _CARRY, _DISCOUNT = "exp(-q * T)", "exp(-r * T)"
@@ -39,7 +41,17 @@ _DECAY = f"-S * {_CARRY} * norm_pdf({_D1}) * sigma / (2D * {_ROOT})"
 
 FUNCTIONS = {
     "norm_pdf": ("x DOUBLE", f"exp(-x * x / 2D) / {math.sqrt(2 * math.pi)!r}D"),
-    "norm_cdf": ("x DOUBLE", f"CASE WHEN x > 0D THEN 1D - ({_TAIL}) ELSE {_TAIL} END"),
+    # Upper tail for z >= 0 with e = exp(-z * z / 2); the caller passes values that are never null.
+    "norm_tail": (
+        "z DOUBLE, e DOUBLE",
+        f"coalesce(CASE WHEN z < {WEST_SWITCH}D THEN e * {_poly(WEST_NUMERATOR)} / {_poly(WEST_DENOMINATOR)} "
+        f"ELSE e * {_poly(FRACTION_BOTTOM)} / {_poly(FRACTION_TOP)} / {WEST_TAIL}D END, 0D)",
+    ),
+    "norm_cdf": (
+        "x DOUBLE",
+        "(CASE WHEN x > 0D THEN 1D ELSE 0D END) - (CASE WHEN x > 0D THEN 1D WHEN x IS NOT NULL THEN -1D END) "
+        "* norm_tail(least(coalesce(abs(x), 0D), 38D), coalesce(exp(-x * x / 2D), 0D))",
+    ),
     "bs_d1": (
         f"{_QUOTE}, q DOUBLE DEFAULT 0.0D",
         f"try_divide(ln(try_divide(S, K)) + (r - q + 0.5D * sigma * sigma) * T, sigma * {_ROOT})",
@@ -81,6 +93,12 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
+    """Create the functions in this session.
+
+    Several of them in one SELECT make a generated method larger than the 8,000 bytes the JVM
+    compiles, and it would be interpreted.  The setting lets Spark generate small methods then.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
     for name, (arguments, body) in FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS DOUBLE RETURN {body}"

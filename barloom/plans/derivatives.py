@@ -312,4 +312,4 @@ add("k08_quote_points", _quote_points, ("measurement", "options_ticker", "ts", "
     "SELECT 'option_quote' AS measurement, options_ticker, ts, field, value FROM ("
     + " UNION ALL ".join(f"SELECT options_ticker, ts, '{n}' AS field, {x} AS value FROM greeks" for n, x in
                          (("bid", "price * 0.95::DOUBLE"), ("ask", "price * 1.05::DOUBLE"), ("implied_volatility", "v"), ("open_interest", "open_interest::DOUBLE")))
-    + ")", (v.QUOTES, *G))
+    + ")", (v.QUOTES, *G), digits=4)

@@ -19,13 +19,14 @@ NUDGE = 2.3e-9
 
 
 def _rounded(name: str, digits: int):
-    x = F.round(F.col(name).cast("double") + NUDGE, digits)
-    return F.when(x == 0, 0.0).otherwise(x).alias(name)
+    """Rounding by floor: the same arithmetic in both engines, and cheap."""
+    unit = 10.0**digits
+    return (F.floor((F.col(name).cast("double") + NUDGE) * unit + 0.5) / unit).alias(name)
 
 
 def _rounded_sql(name: str, digits: int) -> str:
-    x = f"round({name}::DOUBLE + {NUDGE}::DOUBLE, {digits})"
-    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE {x} END AS {name}"
+    unit = f"{10.0**digits!r}::DOUBLE"
+    return f"floor(({name}::DOUBLE + {NUDGE}::DOUBLE) * {unit} + 0.5::DOUBLE) / {unit} AS {name}"
 
 
 def _plain(df: DataFrame, name: str):

@@ -287,16 +287,23 @@ LAST11 = """last11 AS (SELECT symbol, predicted_price AS p, lag(predicted_price)
    row_number() OVER (PARTITION BY symbol ORDER BY prediction_time DESC) AS k FROM preds QUALIFY k <= 11),
   cons AS (SELECT symbol, coalesce(avg(1 - least(abs(p - nxt) / nxt, 1)) FILTER (nxt <> 0) * 100, 75) AS consistency FROM last11 GROUP BY 1)"""
 add("w15_prediction_consistency", _consistent, ("symbol",), ("consistency",), "SELECT * FROM cons", (*PRED_CTES, LAST11))
+
+
+def half_up(x: str, digits: int) -> str:
+    """Round the printed number, as Spark does, and not its binary neighbour."""
+    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(38, 18), {digits})::DOUBLE"
+
+
 STRATS = f"""st1 AS (SELECT c.symbol, c.consistency, b.price, avg(l.p) FILTER (k <= 3) - b.price AS chg, stddev_pop(l.p) FILTER (k <= 10) AS vol
    FROM cons c JOIN last11 l USING (symbol) JOIN (SELECT symbol, arg_max(close, ts) AS price FROM bars GROUP BY 1) b USING (symbol) GROUP BY 1, 2, 3),
-  st2 AS (SELECT *, CASE WHEN chg > 0 THEN 'CALL' ELSE 'PUT' END AS option_type, round(price * CASE WHEN chg > 0 THEN 1.02::DOUBLE ELSE 0.98::DOUBLE END, 2) AS strike_price,
-   round(price + chg * 0.5, 2) AS target_1, round(price + chg, 2) AS target_2, round(price + chg * 1.5, 2) AS target_3,
-   least(round(consistency, 1), 95) AS confidence_1, least(round(consistency * 0.85, 1), 85) AS confidence_2, least(round(consistency * 0.65, 1), 70) AS confidence_3,
+  st2 AS (SELECT *, CASE WHEN chg > 0 THEN 'CALL' ELSE 'PUT' END AS option_type, {half_up('price * CASE WHEN chg > 0 THEN 1.02::DOUBLE ELSE 0.98::DOUBLE END', 2)} AS strike_price,
+   {half_up('price + chg * 0.5', 2)} AS target_1, {half_up('price + chg', 2)} AS target_2, {half_up('price + chg * 1.5', 2)} AS target_3,
+   least({half_up('consistency', 1)}, 95) AS confidence_1, least({half_up('consistency * 0.85', 1)}, 85) AS confidence_2, least({half_up('consistency * 0.65', 1)}, 70) AS confidence_3,
    chg / price * 100 AS predicted_move FROM st1),
-  st3 AS (SELECT *, round(round(abs(strike_price - price) + vol * sqrt(days / 365.0::DOUBLE) * price * 0.1, 2) * 100, 2) AS capital_required,
+  st3 AS (SELECT *, round({half_up('abs(strike_price - price) + vol * sqrt(days / 365.0::DOUBLE) * price * 0.1', 2)} * 100, 2) AS capital_required,
    strftime(DATE '2024-01-30' + days, '%Y-%m-%d') AS expiry_date, CASE days WHEN 7 THEN target_1 WHEN 14 THEN target_2 ELSE target_3 END AS tgt
    FROM st2, (VALUES (7), (14), (30)) AS e(days)),
-  strategies AS (SELECT *, CASE WHEN capital_required > 0 THEN round(abs(tgt - strike_price) * 100 / capital_required, 2) ELSE 0 END AS risk_reward,
+  strategies AS (SELECT *, CASE WHEN capital_required > 0 THEN {half_up('abs(tgt - strike_price) * 100 / capital_required', 2)} ELSE 0 END AS risk_reward,
    CASE WHEN abs(predicted_move) < 2 THEN 'LOW' WHEN abs(predicted_move) < 5 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, price AS stock_price FROM st3)"""
 STRAT_CTES = (*PRED_CTES, LAST11, STRATS)
 add("r12_r14_expiry_strategies", _strategies, ("symbol", "option_type", "days", "expiry_date", "risk_level"),
