@@ -67,14 +67,14 @@ def _terms(option_type):
     s, k, t, r, q, v, root = (c(f"_{n}") for n in ("s", "k", "t", "r", "q", "v", "root"))
     n1, n2, pdf, carry, discount = (c(f"_{n}") for n in ("n1", "n2", "pdf", "carry", "discount"))
     call = known(is_call(option_type), False)
-    decay = known(-s * carry * pdf * v / root) * 0.5
+    decay = known(F.try_divide(-s * carry * pdf * v, root)) * 0.5
     side = F.when(call, 1.0).otherwise(-1.0)
     # N(d) for calls and -N(-d) for puts.
     w1, w2 = (F.when(call, n).otherwise(n - 1.0) for n in (n1, n2))
     live = {
         "price": s * carry * w1 - k * discount * w2,
         "delta": carry * w1,
-        "gamma": known(carry * pdf / (s * v * root)),
+        "gamma": known(F.try_divide(carry * pdf, s * v * root)),
         "vega": s * carry * pdf * root * 0.01,
         "theta": (decay - r * k * discount * w2 + q * s * carry * w1) * (1.0 / 365.0),
         "rho": k * t * discount * w2 * 0.01,
@@ -120,8 +120,8 @@ def with_values(
         | {f"_{n}": F.lit(float(x)) for n, x in inputs.items() if n not in varying}
     )
     staged = staged.withColumn("_root", F.sqrt("_t"))
-    numerator = known(F.ln(known(c("_s") / c("_k"), 1.0))) + (c("_r") - c("_q") + c("_v") * c("_v") * 0.5) * c("_t")
-    staged = staged.withColumn("_d1", known(numerator / (c("_v") * c("_root"))))
+    numerator = known(F.ln(known(F.try_divide("_s", "_k"), 1.0))) + (c("_r") - c("_q") + c("_v") * c("_v") * 0.5) * c("_t")
+    staged = staged.withColumn("_d1", known(F.try_divide(numerator, c("_v") * c("_root"))))
     staged = staged.withColumn("_d2", c("_d1") - c("_v") * c("_root"))
     staged = staged.withColumns({f"_z{i}": F.least(F.abs(f"_d{i}"), F.lit(38.0)) for i in (1, 2)})
     staged = staged.withColumns({f"_e{i}": F.exp(c(f"_z{i}") * c(f"_z{i}") * -0.5) for i in (1, 2)})

@@ -207,7 +207,8 @@ def fill_sql(c: str) -> str:
 
 
 add("w16_fill_missing", lambda s, d: prep.fill_missing(_gappy(s, d), ["close", "open"]), KEY, ("close", "open"),
-    f"SELECT ts, symbol, {fill_sql('close')}, {fill_sql('open')} FROM gappy", (v.BARS, GAPPY))
+    f"SELECT * FROM (SELECT ts, symbol, {fill_sql('close')}, {fill_sql('open')} FROM gappy) WHERE close IS NOT NULL AND open IS NOT NULL",
+    (v.BARS, GAPPY))
 add("w17_next_target", lambda s, d: prep.next_target(a.bars_hourly(s, d)), KEY, ("close", "target"),
     f"SELECT * FROM (SELECT *, lead(close) OVER {v.over()} AS target FROM bars) WHERE target IS NOT NULL", (v.BARS,))
 

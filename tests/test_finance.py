@@ -167,7 +167,7 @@ def test_strategies(spark):
 
 
 def test_consistency_of_one_prediction_is_75(spark):
-    df = spark.createDataFrame([("S", pd.Timestamp("2024-01-01"), 10.0)], "symbol string, ts timestamp, predicted_price double")
+    df = spark.createDataFrame([("S", pd.Timestamp("2024-01-01").to_pydatetime(), 10.0)], "symbol string, ts timestamp, predicted_price double")
     assert strategies.prediction_consistency(df).first().consistency == 75.0
 
 

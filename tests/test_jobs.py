@@ -73,7 +73,7 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     schema = "ts timestamp, symbol string, price double"
     batches = [[("2024-01-01 10:05", 1.0), ("2024-01-01 10:30", 2.0)], [("2024-01-01 12:00", 3.0)], [("2024-01-01 10:40", 99.0), ("2024-01-01 14:30", 4.0)]]
     for rows in batches:
-        spark.createDataFrame([(pd.Timestamp(t), "S", p) for t, p in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        spark.createDataFrame([(pd.Timestamp(t).to_pydatetime(), "S", p) for t, p in rows], schema).coalesce(1).write.mode("append").parquet(src)
         live = jobs.event_time_bars(spark.readStream.schema(schema).parquet(src))
         jobs.finish(live.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out))
     got = by_key(spark.read.parquet(out), "ts")
