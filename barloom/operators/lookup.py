@@ -164,7 +164,7 @@ def asof_join(
     Both sides meet per (key, time slot); a value from an earlier slot comes from a small
     carry table.  Where a slot holds more than ``rows`` left rows, these are split over
     several salts and only the right rows of that slot are copied to each.  ``right`` has
-    one row per (key, right_ts); the left key and time are not null.
+    one row per (key, right_ts), neither null.
     """
     by = o.keys(by)
     L = left.select(*by, F.col(left_ts).alias("_t"), F.struct(*left.columns).alias("_l"),
@@ -197,7 +197,16 @@ def asof_join(
     time = F.col("_t").desc() if forward else F.col("_t")
     w = W.partitionBy(*by, "_slot", "_salt").orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
     found = F.coalesce(F.last("_r", ignorenulls=True).over(w), F.col("_carry"))
-    return both.withColumn("_m", found).filter(F.col("_side") == 1).select("_l.*", "_m.*")
+    matched = both.withColumn("_m", found).filter(F.col("_side") == 1).select("_l.*", "_m.*")
+    # Left rows without a key or a time match nothing, but stay.
+    unplaced = None
+    for c in dict.fromkeys([*by, left_ts]):
+        if left.schema[c].nullable:
+            unplaced = F.col(c).isNull() if unplaced is None else unplaced | F.col(c).isNull()
+    if unplaced is None:
+        return matched
+    nothing = {v: F.lit(None).cast(right.schema[v].dataType) for v in values}
+    return matched.unionByName(left.filter(unplaced).withColumns(nothing))
 
 
 def attach_underlying(quotes: DataFrame, bars: DataFrame, **kw) -> DataFrame:

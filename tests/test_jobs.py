@@ -78,3 +78,12 @@ def test_late_ticks_are_dropped(spark, tmp_path):
         jobs.finish(live.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out))
     got = by_key(spark.read.parquet(out), "ts")
     assert list(got.close) == [2.0, 3.0] and list(got.volume) == [2, 1]
+
+
+def test_three_sinks(spark, bars, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "sinks")
+    bars.write.parquet(src)
+    live = spark.readStream.schema(bars.schema).parquet(src).withColumn("date", F.to_date("ts"))
+    jobs.finish(jobs.start_sinks(live, root, f"{root}/check", trigger=jobs.AVAILABLE, console=True))
+    assert spark.read.parquet(f"{root}/table").count() == bars.count()
+    assert spark.read.json(f"{root}/messages").count() == bars.count()

@@ -94,6 +94,9 @@ def test_asof_join_with_a_hot_slot(spark, bars, bars_pdf, forward):
                          bars_pdf.astype({"ts": "datetime64[ns]"})[["symbol", "ts", "close"]].sort_values("ts"),
                          on="ts", by="symbol", direction="forward" if forward else "backward").sort_values("id").reset_index(drop=True)
     np.testing.assert_array_equal(got.price, want.close)
+    holed = spark.createDataFrame(left).withColumn("ts", F.when(F.col("id") > 4, F.col("ts")))
+    kept = lk.asof_join(holed, bars.withColumn("price", F.col("close")), ["price"], forward=forward)
+    assert kept.count() == 700 and kept.filter("id <= 4 AND price IS NULL").count() == 5
 
 
 def test_exact_quantiles_small_and_bracketed(spark):
