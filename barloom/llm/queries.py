@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination, mixing, simhash_bk
+from barloom.llm import decontamination, mixing, secret_ledger, simhash_bk, winnowing
 from barloom.llm._common import table
 
 
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.report(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -17,9 +21,13 @@ def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_bk.fingerprint_hex().alias("fingerprint"), found.component.alias("component_id"))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_to_weights, op6_simhash_bk_trees, op8_benchmark_decontamination)}
-ORACLES = {"op3_mix_to_weights": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_secret_ledger, op3_mix_to_weights, op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination)}
+ORACLES = {"op2_secret_ledger": secret_ledger.ORACLE, "op3_mix_to_weights": mixing.ORACLE}
