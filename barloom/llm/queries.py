@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination, mixing, secret_ledger, simhash_bk, winnowing
+from barloom.llm import chat_parts, decontamination, mixing, secret_ledger, simhash_bk, warc_zip, winnowing
 from barloom.llm._common import table
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,10 @@ def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_parts.conversation_digests(table(spark, sf_dir, "conversations"))
+
+
 def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_bk.fingerprint_hex().alias("fingerprint"), found.component.alias("component_id"))
@@ -29,5 +37,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ledger, op3_mix_to_weights, op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc_zip, op2_secret_ledger, op3_mix_to_weights, op4_chat_parts, op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination)
+}
 ORACLES = {"op2_secret_ledger": secret_ledger.ORACLE, "op3_mix_to_weights": mixing.ORACLE}
