@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat_parts, decontamination, mixing, secret_ledger, simhash_bk, warc_zip, winnowing
+from barloom.llm import chat_parts, decontamination, mixing, secret_ledger, simhash_bk, suffix_dedup, warc_zip, winnowing
 from barloom.llm._common import table
 
 
@@ -37,8 +37,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_zip, op2_secret_ledger, op3_mix_to_weights, op4_chat_parts, op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination)
+    for f in (op1_warc_zip, op2_secret_ledger, op3_mix_to_weights, op4_chat_parts, op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination, op10_suffix_dedup)
 }
 ORACLES = {"op2_secret_ledger": secret_ledger.ORACLE, "op3_mix_to_weights": mixing.ORACLE}
