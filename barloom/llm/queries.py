@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat_parts, decontamination, mixing, secret_ledger, simhash_bk, suffix_dedup, warc_zip, winnowing
+from barloom.llm import chat_parts, cotraining, decontamination, mixing, secret_ledger, simhash_bk, suffix_dedup, toxicity, warc_zip, winnowing
 from barloom.llm._common import table
 
 
@@ -24,6 +24,10 @@ def op4_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_parts.conversation_digests(table(spark, sf_dir, "conversations"))
 
 
+def op5_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_bk.fingerprint_hex().alias("fingerprint"), found.component.alias("component_id"))
@@ -37,12 +41,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_zip, op2_secret_ledger, op3_mix_to_weights, op4_chat_parts, op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination, op10_suffix_dedup)
+    for f in (
+        op1_warc_zip, op2_secret_ledger, op3_mix_to_weights, op4_chat_parts, op5_cotraining_quality,
+        op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination, op9_ordinal_toxicity, op10_suffix_dedup,
+    )
 }
 ORACLES = {"op2_secret_ledger": secret_ledger.ORACLE, "op3_mix_to_weights": mixing.ORACLE}
