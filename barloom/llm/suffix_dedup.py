@@ -4,14 +4,14 @@ The method dealt is external induced sorting.  A suffix tuple for every byte tak
 and every level of the recursion moves them again.  So this version sorts only a sample of the suffixes and induces the rest:
 
 * A suffix is sampled where a window of ``length`` bytes has its smallest hashed gram (rightmost of equal ones).  Equal windows
-  have equal samples at equal places, so nothing is lost; about one byte in thirty-five is sampled.
+  have equal samples at equal places, so nothing is lost; about one byte in twenty-seven is sampled.
 * The tuple of a sample is (gram, phrase, document, place): ``phrase`` stands for the common prefix of all windows that belong to the
   sample, which are those that start at lo..hi.  Spark's external sort (sorted runs on disk, merged through a priority queue) brings equal
   tuples together in text order, and a streaming pass decides them: all but the first of a phrase repeat it with every window.
-* One level down, the first tuples of different phrases around one gram are induced window by window: each window is hashed (128 bits),
+* One level down, the first tuples of different phrases around one gram are induced window by window: each window is hashed (102 bits),
   sorted in the same way, and all but the first occurrence repeat.
 
-A first occurrence of a window always reaches the lower level if another phrase may hold it, so the result is exact up to 128-bit hashes.
+A first occurrence of a window always reaches the lower level if another phrase may hold it, so the result is exact up to 102-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,26 +31,27 @@ from barloom.llm.winnowing import rolling
 
 ship(__name__)
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 48
 #: Windows of one text that are handled at once, and bytes of texts whose tuples are reduced together before the shuffle.
 SEGMENT, GATHER = 1 << 21, 24 << 20
 #: Phrases around one gram in one such gathering from which on the gram is dealt by phrase as well.
 HOT = 8
 NO_ID = -(1 << 63)
 
-# A tuple's last number: kind (2 bits) | start (31 bits) | hi - lo (7 bits) | hash of the text (23 bits).
+# What a tuple knows besides its gram, document and start: phrase (38 bits) | hi - lo (7 bits) | hash of the text (16 bits) | kind (2 bits).
 PLAIN, DEALT, WITNESS, REPEAT = range(4)
-TUPLE = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "phrase", "doc", "packed")])
+PHRASE_BITS, TEXT_MASK = 38, 0xFFFF
+TUPLE = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "about", "doc", "lo")])
 FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("refine", T.BooleanType())])
 
 
-def pack(kind, lo, width, th):
-    return (np.int64(kind) << 61) | (lo.astype(np.int64) << 30) | (width.astype(np.int64) << 23) | th
+def pack(phrase: np.ndarray, width: np.ndarray, th: np.ndarray, kind) -> np.ndarray:
+    return (phrase.astype(np.int64) << 25) | (width.astype(np.int64) << 18) | (th.astype(np.int64) << 2) | kind
 
 
-def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, start, hi - lo and hash of the text."""
-    return packed >> 61, (packed >> 30) & 0x7FFFFFFF, (packed >> 23) & 0x7F, packed & 0x7FFFFF
+def unpack(about: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase, hi - lo, hash of the text and kind."""
+    return about >> 25, (about >> 18) & 0x7F, (about >> 2) & TEXT_MASK, about & 3
 
 
 def samples(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,7 +73,7 @@ def samples(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, n
         at = (low - (keys[start] & low)).astype(np.int64)
         phrase = xxhash.xxh64_intdigest
         phrases = [phrase(view[i : j + length], s) for i, j, s in zip(lo.tolist(), hi.tolist(), (at - start).tolist(), strict=True)]
-        yield lo, hi, h[at], np.array(phrases, dtype=np.uint64)
+        yield lo, hi, h[at], np.array(phrases, dtype=np.uint64) >> np.uint64(64 - PHRASE_BITS)
 
 
 def later(keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +97,8 @@ def joined_runs(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     return doc[start], th[start], lo[start], np.maximum.reduceat(hi, start) if len(start) else hi
 
 
-def _tuples(gram: np.ndarray, phrase: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (gram, phrase, doc, packed)], names=TUPLE.names)
+def _tuples(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], names=TUPLE.names)
 
 
 def _reduced(gram, phrase, doc, th, lo, hi, by_gram: bool) -> pa.RecordBatch:
@@ -114,10 +115,11 @@ def _reduced(gram, phrase, doc, th, lo, hi, by_gram: bool) -> pa.RecordBatch:
         many = np.diff(np.concatenate((starts, [len(gram)]))) >= HOT
         kind[np.repeat(many, np.diff(np.concatenate((starts, [len(gram)]))))] = DEALT
         witness = gram[starts[many]]
-    none = np.zeros(len(witness), dtype=np.int64)
+    none, ended = np.zeros(len(witness), dtype=np.int64), np.zeros(len(r_doc), dtype=np.int64)
     return _tuples(
-        np.concatenate([gram, witness, r_hi.astype(np.uint64)]), np.concatenate([phrase, np.zeros(len(witness), np.uint64), np.zeros(len(r_doc), np.uint64)]),
-        np.concatenate([doc, none, r_doc]), np.concatenate([pack(0, lo, hi - lo, th) | (kind << 61), pack(WITNESS, none, none, none), pack(REPEAT, r_lo, np.zeros_like(r_lo), r_th)]),
+        np.concatenate([gram, witness, r_hi.astype(np.uint64)]),
+        np.concatenate([pack(phrase, hi - lo, th, kind), pack(none, none, none, WITNESS), pack(ended, ended, r_th, REPEAT)]),
+        np.concatenate([doc, none, r_doc]), np.concatenate([lo, none, r_lo]),
     )
 
 
@@ -157,7 +159,7 @@ def _induce(length: int):
                 for at in range(0, len(spans), 20_000):
                     p = np.concatenate([np.arange(i, j + 1) for i, j in spans[at : at + 20_000].tolist()])
                     h = np.frombuffer(b"".join([digest(view[i : i + length]) for i in p.tolist()]), dtype=np.uint64).reshape(-1, 2)
-                    yield 16 * len(p), h[:, 0], h[:, 1], np.full(len(p), doc, dtype=np.int64), np.full(len(p), th, dtype=np.int64), p, p
+                    yield 16 * len(p), h[:, 0], h[:, 1] >> np.uint64(64 - PHRASE_BITS), np.full(len(p), doc, dtype=np.int64), np.full(len(p), th, dtype=np.int64), p, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(rows(batches), False)
@@ -172,26 +174,25 @@ def _found(doc, th, lo, hi, refine) -> pa.RecordBatch:
 def _decide(by_gram: bool):
     """Goes through sorted tuples with the first one of the current phrase, and the state of the current gram, in hand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None  # gram, phrase, doc and packed of the first row of the last phrase
+        carried = None  # the first tuple of the last phrase
         waiting = None  # the only phrase of the last gram so far; None once the gram has several
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, phrase, doc, packed = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            decided = packed >> 61 == REPEAT
-            _, lo, _, th = unpack(packed[decided])
-            yield _found(doc[decided], th, lo, gram[decided], np.zeros(len(th), dtype=bool))
-            gram, phrase, doc, packed = (x[~decided] for x in (gram, phrase, doc, packed))
+            gram, about, doc, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            decided = about & 3 == REPEAT
+            yield _found(doc[decided], unpack(about[decided])[2], lo[decided], gram[decided], np.zeros(int(decided.sum()), dtype=bool))
+            gram, about, doc, lo = (x[~decided] for x in (gram, about, doc, lo))
             if not len(gram):
                 continue
             if carried is not None:
-                gram, phrase, doc, packed = (np.concatenate(([c], x)) for c, x in zip(carried, (gram, phrase, doc, packed), strict=True))
-            kind, lo, width, th = unpack(packed)
+                gram, about, doc, lo = (np.concatenate(([c], x)) for c, x in zip(carried, (gram, about, doc, lo), strict=True))
+            phrase, width, th, kind = unpack(about)
             first, repeats = later((gram, phrase, kind), doc, lo)
             repeats &= kind != WITNESS
             yield _found(doc[repeats], th[repeats], lo[repeats], lo[repeats] + width[repeats], np.zeros(int(repeats.sum()), dtype=bool))
             at = int(np.flatnonzero(first)[-1])
-            held = (gram[at], phrase[at], doc[at], packed[at])
+            held = (gram[at], about[at], doc[at], lo[at])
             if by_gram:
                 opens = np.concatenate(([True], gram[1:] != gram[:-1]))
                 starts = np.flatnonzero(opens)
@@ -210,9 +211,9 @@ def _decide(by_gram: bool):
 
 
 def _ordered(tuples: DataFrame, n: int) -> DataFrame:
-    kind = F.shiftrightunsigned("packed", 61)
-    route = F.when(kind == REPEAT, F.xxhash64("doc")).when(kind == DEALT, F.xxhash64("gram", "phrase")).otherwise(F.col("gram"))
-    return tuples.repartition(n, route).sortWithinPartitions("gram", "phrase", kind, "doc", "packed")
+    kind, phrase = F.col("about").bitwiseAND(F.lit(3)), F.shiftright("about", 25)
+    route = F.when(kind == REPEAT, F.xxhash64("doc")).when(kind == DEALT, F.xxhash64("gram", phrase)).otherwise(F.col("gram"))
+    return tuples.repartition(n, route).sortWithinPartitions("gram", phrase, kind, "doc", "lo")
 
 
 RESULT = T.StructType([
@@ -264,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         raise ValueError("a gram must be shorter than the length by 127 bytes at most")
     n = shuffle_partitions(docs.sparkSession)
     texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFF)).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(TEXT_MASK)).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"),
     )
     found = staged(_ordered(texts.mapInArrow(_sample(length, gram), TUPLE), n).mapInArrow(_decide(True), FOUND), "suffix-tuples")
     dealt = texts.repartition(n, "doc", "th")
