@@ -32,6 +32,7 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
+NO_ID = -(1 << 63)
 
 # Fixed values of the ZIP format: signatures and field layouts.
 END = "<4s4H2LH"  # PK\5\6
@@ -211,17 +212,16 @@ def write_packages(
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc-packages")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"))
-    digests = rows.select("id", F.sha1("html").alias("digest"), F.length("html").alias("size"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"),
+    ).withColumn("key", F.coalesce("id", F.lit(NO_ID)))
+    digests = rows.select("id", "key", F.sha1("html").alias("digest"), F.length("html").alias("size"))
     firsts = digests.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = digests.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
-    marked = (
-        rows.withColumn("digest", F.sha1("html"))
-        .join(again, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-        .select("id", "url", "html", "digest", F.col("first").alias("refers_to"))
-    )
-    dealt = marked.repartition(shuffle_partitions(spark), "id").sortWithinPartitions("id", "digest", "url")
-    return staged(dealt.mapInArrow(_write(folder, package_bytes), "package string, records long"), "warc-manifest")
+    again = digests.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("again"))
+    # The join itself deals the payloads by id, unless the revisits are few enough to be sent to where the payloads are.
+    own = F.get(F.filter("again", lambda a: a["digest"] == F.col("digest")), F.lit(0))["first"]
+    marked = rows.withColumn("digest", F.sha1("html")).join(again, "key", "left").select("id", "url", "html", "digest", own.alias("refers_to"))
+    return staged(marked.sortWithinPartitions("id", "digest", "url").mapInArrow(_write(folder, package_bytes), "package string, records long"), "warc-manifest")
 
 
 def _scan_members(file: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, int]]:
