@@ -11,7 +11,7 @@ from barloom.operators import indicators as ind
 from barloom.operators import lookup as lk
 from barloom.operators import ordered as o
 from barloom.operators import prep
-from barloom.operators.quantiles import exact_quantiles, lower_tail
+from barloom.operators.quantiles import exact_quantiles, lower_tail, order_statistics
 
 KEY = ("symbol", "ts")
 
@@ -99,8 +99,7 @@ def test_asof_join_with_a_hot_slot(spark, bars, bars_pdf, forward):
     assert kept.count() == 700 and kept.filter("id <= 4 AND price IS NULL").count() == 5
 
 
-def test_exact_quantiles_small_and_bracketed(spark):
-    # 150 distinct values, one of them a third of all rows; then the path beyond the small size.
+def test_exact_quantiles_with_a_heavy_value(spark):
     df = spark.range(2_500_000).select(
         F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 100_003).cast("double")).alias("x"), (F.col("id") % 2).alias("g"))
     got = {r.g: r for r in exact_quantiles(df, "x", [0.05, 0.5, 0.95], ["g"]).collect()}
@@ -115,6 +114,31 @@ def test_exact_quantiles_small_and_bracketed(spark):
     assert tail.mean_before == pytest.approx(s[:k].mean())
 
 
+def test_order_statistics_of_hard_groups(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "wide": np.concatenate([-(10.0 ** rng.uniform(-300, 300, 500)), 10.0 ** rng.uniform(-300, 300, 500), [0.0, -0.0, np.inf, -np.inf]]),
+        "close": 1.0 + rng.permutation(3000) * 2.0**-52, "ties": np.repeat([3.0, -2.0, 3.5], [700, 200, 100]), "constant": np.full(50, -7.25), "one": np.array([5.0]), None: np.arange(9.0),
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("empty", None), ("empty", float("nan"))], "g string, x double")
+    ranks = lambda n: [F.lit(1), F.ceil(n / 3), F.ceil(n * 0.9), n]
+    got = {r.g: r for r in order_statistics(df, "x", ranks, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        s = np.sort(xs)
+        assert [got[g][f"v_{i}"] for i in range(4)] == [s[0], s[-(-len(s) // 3) - 1], s[int(np.ceil(len(s) * 0.9)) - 1], s[-1]]
+
+
+def test_quantiles_of_a_whole_table_count_without_a_sketch(spark):
+    df = spark.range(2_000_000).select((F.col("id") * 7919 % 2_000_003).cast("double").alias("x"))
+    r = exact_quantiles(df, "x", [0.25, 0.75]).first()
+    np.testing.assert_allclose([r.q_0, r.q_1], np.quantile(np.arange(2_000_000) * 7919 % 2_000_003, [0.25, 0.75]))
+    plan = exact_quantiles(df, "x", [0.25, 0.75])._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    empty = exact_quantiles(df.limit(0), "x", [0.5]).collect()
+    assert [x.q_0 for x in empty] == [None]
+
+
 def test_quantiles_of_few_rows(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,), (float("nan"),)], "x double")
     r = exact_quantiles(df, "x", [0.25, 0.75]).first()
