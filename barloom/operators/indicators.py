@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -263,7 +264,9 @@ def stochastic(df, k=14, d=3, **ordering) -> DataFrame:
     return o.ordered(df, stochastic_layer(k, d), back=k + d - 2, **ordering)
 
 
-INDICATOR_REACH = 50  # the widest layer below: sma_50
+def indicator_reach(periods=(5, 10, 20, 50)) -> int:
+    """Rows that the widest of the layers below looks back: a mean, or the nine-row mean of a 26-row one."""
+    return max(*periods, 20 + 1, 26 + 9)
 
 
 def indicator_layers(min_periods=1, epsilon=1e-6, periods=(5, 10, 20, 50)):
@@ -286,8 +289,8 @@ def indicator_layers(min_periods=1, epsilon=1e-6, periods=(5, 10, 20, 50)):
     return layer
 
 
-def indicator_set(df, min_periods=1, epsilon=1e-6, **ordering) -> DataFrame:
-    full = o.ordered(df, indicator_layers(min_periods, epsilon), back=INDICATOR_REACH, **ordering)
+def indicator_set(df, min_periods=1, epsilon=1e-6, periods=(5, 10, 20, 50), **ordering) -> DataFrame:
+    full = o.ordered(df, indicator_layers(min_periods, epsilon, periods), back=indicator_reach(periods), **ordering)
     return price_range(full)
 
 
@@ -311,49 +314,96 @@ def bar_direction(df: DataFrame) -> DataFrame:
 # --- exponential means ------------------------------------------------------
 
 
-def ema_reach(span: int, tol: float = 1e-13) -> int:
-    """Rows after which a starting value has lost all but ``tol`` of its weight."""
-    return math.ceil(math.log(tol) / math.log(1.0 - 2.0 / (span + 1.0)))
+# The recursion  mean' = (o * mean + alpha * x) / (o + alpha),  o = (1 - alpha) ** (nulls before x + 1),  is affine in
+# the mean.  A time slot therefore comes down to a few numbers, which are chained per series; every chunk then
+# starts from the exact mean before it.  Nulls carry the mean on, as pandas' ``ewm(adjust=False)`` does.
 
 
-def _smooth(df: DataFrame, compute, columns, back, by="symbol", ts="ts", tie=(), rows=o.CHUNK_ROWS,
-            slot=o.SLOT) -> DataFrame:
-    """Recursive means need the preceding value of themselves, which no window frame
-    offers.  Each chunk starts ``back`` rows early, where the choice of the starting value
-    no longer matters, and is smoothed as one Arrow group of bounded size."""
-    cut = o.spread(df, by, ts, back, 0, rows, slot).drop(o._BEFORE, o._TOTAL, o._SLOT)
-    schema = T.StructType(
-        [f for f in cut.schema if f.name not in (o._CHUNK, o._OWN)]
-        + [T.StructField(c, T.DoubleType()) for c in columns]
-    )
-    order = [ts, *tie]
+def _continued(values: np.ndarray, span: int, start: float, gap: int) -> np.ndarray:
+    """Means of ``values`` after a mean ``start`` that ``gap`` nulls followed."""
+    forgotten = math.ceil(-750.0 / math.log1p(-2.0 / (span + 1.0)))  # the old mean's weight is 0 by then
+    before = np.concatenate(([start], np.full(min(gap, forgotten), np.nan))) if start == start else np.zeros(0)
+    return pd.Series(np.concatenate((before, values))).ewm(span=span, adjust=False).mean().to_numpy()[len(before):]
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        for name, values in compute(pdf).items():
-            pdf[name] = values
-        return pdf.loc[pdf[o._OWN], schema.names]
 
-    return cut.groupBy(*o.keys(by), o._CHUNK).applyInPandas(smooth, schema)
+def _slot_parts(values: Column, spans) -> Column:
+    """What a slot (its values in time order) does to a mean: ``lead`` nulls, a first value, then mean -> a * mean + b, ``trail`` nulls."""
+    number = lambda x: F.lit(x).cast("double")
+    start = F.struct(
+        F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("trail"), F.lit(None).cast("double").alias("first"),
+        *[number(float(k == "a")).alias(f"{k}{s}") for s in spans for k in "ab"],
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        new = acc["first"].isNull()
+        means = []
+        for s in spans:
+            alpha = 2.0 / (s + 1.0)
+            old = F.pow(F.lit(1.0 - alpha), acc["trail"] + 1)
+            means += [
+                F.when(x.isNull() | new, acc[f"a{s}"]).otherwise(acc[f"a{s}"] * old / (old + alpha)).alias(f"a{s}"),
+                F.when(x.isNull() | new, acc[f"b{s}"]).otherwise((old * acc[f"b{s}"] + alpha * x) / (old + alpha)).alias(f"b{s}"),
+            ]
+        return F.struct(
+            (acc["lead"] + F.when(x.isNull() & new, 1).otherwise(0)).cast("long").alias("lead"),
+            F.when(x.isNull(), acc["trail"] + 1).otherwise(0).cast("long").alias("trail"), F.coalesce(acc["first"], x).alias("first"), *means,
+        )
 
+    return F.aggregate(values, start, step)
 
-def _ewm(values: pd.Series, span: int) -> pd.Series:
-    return values.ewm(span=span, adjust=False).mean()
 
+def _slot_states(df: DataFrame, column: str, spans, by, ts, tie, slot) -> DataFrame:
+    """Per (by, slot) with a row: the mean of every span before the slot, and the nulls since the last value."""
+    kinds, slot_name = {f.name: f.dataType for f in df.schema}, o._SLOT
+    schema = T.StructType(
+        [T.StructField(c, kinds[c]) for c in by] + [T.StructField(slot_name, T.LongType()), T.StructField("_gap", T.LongType())]
+        + [T.StructField(f"_m{s}", T.DoubleType()) for s in spans]
+    )
+    x = F.col(column).cast("double")
+    rows = F.sort_array(F.collect_list(F.struct(ts, *[c for c in tie if c != ts], F.when(~F.isnan(x), x).alias("_x"))))
+    inside = df.dropna(subset=[*by, ts]).groupBy(*by, o.slot_of(ts, slot).cast("long").alias(slot_name)).agg(rows.alias("_rows"))
+    parts = inside.select(*by, slot_name, _slot_parts(F.transform("_rows", lambda r: r["_x"]), spans).alias("_part")).select(*by, slot_name, "_part.*")
+
+    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(slot_name)
+        mean, gap, out = dict.fromkeys(spans, math.nan), 0, []
+        for r in pdf.to_dict("records"):
+            out.append([*key, r[slot_name], gap, *(mean[s] for s in spans)])
+            if pd.isna(r["first"]):
+                gap += r["trail"]
+                continue
+            for s in spans:
+                alpha = 2.0 / (s + 1.0)
+                old = (1.0 - alpha) ** (gap + r["lead"] + 1)
+                first = r["first"] if mean[s] != mean[s] else (old * mean[s] + alpha * r["first"]) / (old + alpha)
+                mean[s] = r[f"a{s}"] * first + r[f"b{s}"]
+            gap = r["trail"]
+        return pd.DataFrame(out, columns=schema.names)
+
+    return parts.groupBy(*by).applyInPandas(chain, schema)
+
+
+def ema(df, column="close", spans=(12, 26), names=None, by="symbol", ts="ts", tie=(), rows=o.CHUNK_ROWS, slot=o.SLOT) -> DataFrame:
+    """Exponential means ``ema_<span>`` (or ``names``) of ``column`` in time order, for any chunk size."""
+    by, spans = o.keys(by), list(spans)
+    names = [f"ema_{s}" for s in spans] if names is None else list(names)
+    states = _slot_states(df, column, spans, by, ts, tie, slot)
+    cut = o.spread(df, by, ts, 0, 0, rows, slot, carry=lambda table: table.join(states, [*by, o._SLOT], "left"))
+    cut = cut.withColumn("_x", F.col(column).cast("double")).drop(o._BEFORE, o._TOTAL, o._SLOT, o._OWN)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
+    order, chunk = [ts, *tie], o._CHUNK
 
-def ema(df, column="close", spans=(12, 26), **ordering) -> DataFrame:
-    def compute(pdf):
-        return {f"ema_{s}": _ewm(pdf[column], s) for s in spans}
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        head = pdf.iloc[0]
+        for name, s in zip(names, spans):
+            pdf[name] = math.nan if head[chunk] < 0 else _continued(pdf["_x"].to_numpy(dtype=float), s, float(head[f"_m{s}"]), 0 if pd.isna(head["_gap"]) else int(head["_gap"]))
+        return pdf[schema.names]
 
-    names = [f"ema_{s}" for s in spans]
-    return _smooth(df, compute, names, ema_reach(max(spans)), **ordering)
+    return cut.groupBy(*by, o._CHUNK).applyInPandas(smooth, schema)
 
 
 def macd_ema(df, fast=12, slow=26, signal=9, column="close", **ordering) -> DataFrame:
-    def compute(pdf):
-        line = _ewm(pdf[column], fast) - _ewm(pdf[column], slow)
-        smooth = _ewm(line, signal)
-        return {"macd": line, "macd_signal": smooth, "macd_histogram": line - smooth}
-
-    back = ema_reach(slow) + ema_reach(signal)
-    return _smooth(df, compute, ["macd", "macd_signal", "macd_histogram"], back, **ordering)
+    means = ema(df, column, (fast, slow), ("_fast", "_slow"), **ordering)
+    line = means.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return ema(line, "macd", (signal,), ("macd_signal",), **ordering).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))

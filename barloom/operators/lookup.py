@@ -67,12 +67,12 @@ def newest_rows(df: DataFrame, n: int, ts="ts", tie: Sequence[str] = (), symbol=
     return df.orderBy(F.col(ts).desc(), *tie).limit(n)
 
 
-def latest_chain(quotes: DataFrame, symbol: str, min_expiration=None, ts="ts") -> DataFrame:
-    """Newest quote per contract of one symbol, optionally from an expiration on."""
+def latest_chain(quotes: DataFrame, symbol: str, min_expiration=None, ts="ts", tie: Sequence[str] = ()) -> DataFrame:
+    """Newest quote per contract of one symbol, optionally from an expiration on; ``tie`` decides between equal times."""
     chain = quotes.filter(F.col("symbol") == symbol)
     if min_expiration is not None:
         chain = chain.filter(F.col("expiration") >= F.lit(min_expiration).cast("date"))
-    return latest(chain, "options_ticker", ts)
+    return latest(chain, "options_ticker", ts, tie)
 
 
 def top_rows(df: DataFrame, n: int, *order) -> DataFrame:
@@ -136,11 +136,16 @@ def pick_provider(frames: dict[str, DataFrame], priority: Sequence[str], by="sym
 
 
 def with_indicators(bars: DataFrame, indicators: DataFrame | None, how="inner", on=("ts", "symbol")) -> DataFrame:
-    """bars with their indicator row; without indicators the bars come back unchanged."""
+    """bars with their indicator row; without indicators, or if there are none, all bars come back (with nulls)."""
     if indicators is None:
         return bars
     extra = [c for c in indicators.columns if c in on or c not in bars.columns]
-    return bars.join(indicators.select(*extra), list(on), how)
+    if how != "inner":
+        return bars.join(indicators.select(*extra), list(on), how)
+    # Whether any row exists is a scalar subquery, so the choice is made when the plan runs.
+    some = indicators.limit(1).agg(F.count(F.lit(1)).alias("_n")).select(F.col("_n") > 0).scalar()
+    joined = bars.join(indicators.select(*extra).withColumn("_matched", F.lit(True)), list(on), "left")
+    return joined.withColumn("_some", some).filter(F.col("_matched") | ~F.col("_some")).drop("_matched", "_some")
 
 
 def align(actual: DataFrame, predicted: DataFrame, on=("symbol", "ts")) -> DataFrame:

@@ -13,8 +13,8 @@ a slot belongs to chunk ``position div rows``.  The counts are tiny next to the
 data, and AQE broadcasts them if their measured size allows.  The data itself
 is shuffled once, on (symbol, chunk).
 
-``ts`` and the ``by`` columns must not be null (they are the table key).  A slot
-is never split, so choose ``slot`` such that it holds a bounded number of
+Rows without a time or key belong to no series: they stay in the result, with nulls in the derived
+columns.  A slot is never split, so choose ``slot`` such that it holds a bounded number of
 distinct timestamps: with 1-minute bars a 1-day slot has at most 1,440 rows.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65_536
+APART = 1_024  # chunks for rows that belong to no series
 SLOT = "1 day"
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
@@ -55,7 +56,8 @@ def slot_table(
     """Rows per (by, slot), rows before the slot and rows of the whole series."""
     by = keys(by)
     counts = (
-        df.withColumn(_SLOT, slot_of(ts, slot))
+        df.dropna(subset=[*by, ts])
+        .withColumn(_SLOT, slot_of(ts, slot))
         .groupBy(*by, _SLOT)
         .agg(F.count(F.lit(1)).alias("_n"), *extra)
     )
@@ -86,8 +88,6 @@ def spread(
     columns that travel with the rows (values known before the slot).
     """
     by = keys(by)
-    if max(back, ahead) > rows:
-        raise ValueError(f"a chunk of {rows} rows cannot serve a frame of {max(back, ahead)}")
     table = slot_table(df, by, ts, slot, extra)
     if carry is not None:
         table = carry(table)
@@ -95,8 +95,8 @@ def spread(
     end = F.col(_BEFORE) + F.col("_n")
     targets = F.array(own)
     if back > 0:
-        # The next `back` rows start at `end`; with back <= rows they lie in at most two chunks.
-        targets = F.array(own, F.floor(end / rows), F.floor((end + back - 1) / rows))
+        # The next `back` rows start at `end`; a frame longer than a chunk reaches several.
+        targets = F.concat(targets, F.sequence(F.floor(end / rows), F.floor((end + back - 1) / rows)))
     table = table.withColumn("_home", own)
     if ahead > 0:
         previous = W.partitionBy(*by).orderBy(_SLOT).rowsBetween(-ahead, -1)
@@ -106,7 +106,10 @@ def spread(
         wanted = F.filter("_earlier", lambda x: x["e"] > F.col(_BEFORE) - ahead)
         targets = F.concat(targets, F.transform(wanted, lambda x: x["c"]))
     table = table.withColumn("_targets", F.array_distinct(targets)).drop("_n", "_earlier")
-    placed = df.withColumn(_SLOT, slot_of(ts, slot)).join(table, [*by, _SLOT])
+    placed = df.withColumn(_SLOT, slot_of(ts, slot)).join(table, [*by, _SLOT], "left")
+    # Rows of no series are dealt out by hash below zero.
+    apart = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(APART)).cast("long")
+    placed = placed.withColumns({"_home": F.coalesce("_home", apart), "_targets": F.coalesce("_targets", F.array(apart))})
     if back == 0 and ahead == 0:
         return placed.withColumnsRenamed({"_home": _CHUNK}).withColumn(_OWN, F.lit(True)).drop("_targets")
     return (
@@ -116,6 +119,11 @@ def spread(
     )
 
 
+def in_series() -> Column:
+    """Whether a spread row belongs to a series."""
+    return F.col(_CHUNK) >= 0
+
+
 def chunk_window(by="symbol", ts: str = "ts", tie: Sequence[str] = ()):
     return W.partitionBy(*keys(by), _CHUNK).orderBy(ts, *tie)
 
@@ -153,4 +161,6 @@ def ordered(
     20-row mean of a 1-row lag reaches 20 rows back.
     """
     cut = spread(df, by, ts, back, ahead, rows, slot)
-    return settle(layer(cut, chunk_window(by, ts, tie)))
+    done = layer(cut, chunk_window(by, ts, tie))
+    known = {*df.columns, *_HELPERS}
+    return settle(done.withColumns({c: F.when(in_series(), F.col(c)) for c in done.columns if c not in known}))

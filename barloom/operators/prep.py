@@ -66,7 +66,7 @@ def fill_missing(df: DataFrame, cols: Sequence[str], by="symbol", ts="ts", tie=(
     running = o.chunk_window(by, ts, tie).rowsBetween(W.unboundedPreceding, 0)
     filled = cut.withColumns({c: clean(c) for c in cols}).withColumns(
         {
-            c: F.coalesce(F.last(c, ignorenulls=True).over(running), F.col(f"_p_{c}"), F.col(f"_h_{c}"))
+            c: F.when(o.in_series(), F.coalesce(F.last(c, ignorenulls=True).over(running), F.col(f"_p_{c}"), F.col(f"_h_{c}"))).otherwise(F.col(c))
             for c in cols
         }
     )

@@ -51,7 +51,7 @@ def signals(spark, sf_dir, horizon="short") -> DataFrame:
         return _prediction_layer(full(df, w), w)
 
     bars = a.bars_hourly(spark, sf_dir)
-    both = o.ordered(bars, layer, back=ind.INDICATOR_REACH, ahead=1)
+    both = o.ordered(bars, layer, back=ind.indicator_reach(), ahead=1)
     return sg.generate_signals(
         both.withColumn("current_price", F.col("close")), horizon, volatility="volatility_20d"
     )

@@ -68,6 +68,59 @@ def test_exponential_means(bars):
         np.testing.assert_allclose(g.macd_signal, line.ewm(span=9, adjust=False).mean(), atol=1e-9)
 
 
+@pytest.mark.parametrize(("rows", "slot"), [(7, "1 hour"), (90, "1 day"), (700, "7 days"), (100_000, "1 day")])
+def test_exponential_means_carry_over_gaps(spark, rows, slot):
+    rng = np.random.default_rng(8)
+    frames = []
+    for symbol, gaps in (("A", [(900, 1600)]), ("B", [(0, 40), (41, 42), (2990, 3000)]), ("C", [(0, 3000)])):
+        close = 100 + rng.normal(0, 1, 3000).cumsum()
+        for a, b in gaps:
+            close[a:b] = np.nan
+        close[rng.choice(3000, 200, replace=False)] = np.nan
+        frames.append(pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=3000, freq="17min"), "symbol": symbol, "close": close}))
+    df = spark.createDataFrame(pd.concat(frames))
+    got = by_key(ind.macd_ema(df, rows=rows, slot=slot).join(ind.ema(df, spans=(5, 200), rows=rows, slot=slot).drop("close"), ["symbol", "ts"]), *KEY)
+    assert len(got) == 9000
+    for _, g in got.groupby("symbol"):
+        mean = lambda s, x=g.close: x.ewm(span=s, adjust=False).mean()
+        line = mean(12) - mean(26)
+        for c, want in (("macd", line), ("macd_signal", line.ewm(span=9, adjust=False).mean()), ("ema_5", mean(5)), ("ema_200", mean(200))):
+            np.testing.assert_allclose(g[c], want, atol=1e-9)
+
+
+def test_rows_without_key_stay(spark, bars):
+    stray = spark.createDataFrame([(None, "BIG", 5.0), (pd.Timestamp("2024-01-02").to_pydatetime(), None, 6.0), (None, None, None)], "ts timestamp, symbol string, close double")
+    holed = bars.unionByName(stray, allowMissingColumns=True)
+    n = bars.count()
+    for op in (ind.sma, ind.ema, ind.macd_ema, ind.row_num, ind.indicator_set, ind.rsi):
+        got = op(holed, rows=64)
+        new = [c for c in got.columns if c not in holed.columns and c not in ("price_range", "price_range_pct")]
+        assert new and got.count() == n + 3
+        assert got.filter("ts IS NULL OR symbol IS NULL").filter(" OR ".join(f"{c} IS NOT NULL" for c in new)).count() == 0
+        a, b = (by_key(x.dropna(subset=["ts", "symbol"]), *KEY) for x in (got, op(bars, rows=64)))
+        np.testing.assert_allclose(a[new].to_numpy(float), b[new].to_numpy(float), atol=1e-9)
+    assert prep.fill_missing(holed, ["close"]).count() == n + 2
+
+
+def test_frames_longer_than_a_chunk(bars):
+    whole = by_key(ind.sma_layer((200,))(bars, W.partitionBy("symbol").orderBy("ts")), *KEY)
+    got = by_key(ind.sma(bars, (200,), rows=30), *KEY)
+    np.testing.assert_allclose(got.sma_200, whole.sma_200, atol=1e-9)
+    wide = by_key(ind.indicator_set(bars, periods=(5, 200), rows=64), *KEY)
+    np.testing.assert_allclose(wide.sma_200, whole.sma_200, atol=1e-9)
+    ahead = lambda df, w: df.withColumn("later", F.lead("close", 100).over(w))
+    far = by_key(o.ordered(bars, ahead, ahead=100, rows=30), *KEY)
+    np.testing.assert_array_equal(far.later, by_key(ahead(bars, W.partitionBy("symbol").orderBy("ts")), *KEY).later)
+
+
+def test_no_indicators_give_the_bars(bars):
+    some = ind.sma(bars).select("ts", "symbol", "sma_5").filter("symbol = 'MID'")
+    assert lk.with_indicators(bars, some).count() == 70
+    none = lk.with_indicators(bars, some.limit(0))
+    assert none.count() == bars.count() and none.filter("sma_5 IS NOT NULL").count() == 0
+    assert lk.with_indicators(bars, None) is bars
+
+
 def test_rsi_bounds_and_constant_price(spark, bars):
     x = ind.rsi(bars).agg(F.min("rsi"), F.max("rsi")).first()
     assert 0 <= x[0] <= x[1] <= 100
