@@ -26,12 +26,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     Only a local session without the setting gets a temporary folder of its own.
     """
-    root = spark.conf.get(SHARED, None)
+    context = spark.sparkContext
+    root = spark.conf.get(SHARED, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"{SHARED} names no shared folder")
-        root = "file://" + tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set(SHARED, root)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="barloom-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
