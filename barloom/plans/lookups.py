@@ -47,8 +47,7 @@ def _one_contract_often(s, d):
 OFTEN = """often AS (SELECT * EXCLUDE (options_ticker), options_ticker AS quote_id,
   concat_ws('-', symbol, option_type, strftime(expiration, '%Y-%m')) AS options_ticker FROM quotes)"""
 add("t04_latest_chain",
-    lambda s, d: lk.latest(_one_contract_often(s, d).filter((F.col("symbol") == "Brand#3") & (F.col("expiration") >= F.lit("1998-01-01").cast("date"))),
-                           "options_ticker", tie=("quote_id",)),
+    lambda s, d: lk.latest_chain(_one_contract_often(s, d), "Brand#3", "1998-01-01", tie=("quote_id",)),
     ("ts", "options_ticker", "quote_id"), ("strike",),
     """SELECT * FROM often WHERE symbol = 'Brand#3' AND expiration >= DATE '1998-01-01'
        QUALIFY row_number() OVER (PARTITION BY options_ticker ORDER BY ts DESC, quote_id DESC) = 1""", (v.QUOTES, OFTEN))
@@ -105,6 +104,9 @@ def _some_indicators(s, d):
     return ind.rsi(a.bars_hourly(s, d)).filter(F.col("rsi") > 40).select("ts", "symbol", "rsi")
 
 
+add("j01_bars_without_indicators",
+    lambda s, d: lk.with_indicators(a.bars_hourly(s, d), ind.sma(a.bars_hourly(s, d)).select(*KEY, "sma_5").filter("symbol = 'no such symbol'")),
+    (*KEY, "volume"), ("close", "sma_5"), "SELECT *, NULL::DOUBLE AS sma_5 FROM bars", (v.BARS,))
 add("j01_bars_with_indicators", lambda s, d: lk.with_indicators(a.bars_hourly(s, d), _some_indicators(s, d)),
     KEY, ("close", "rsi"), "SELECT * FROM ind WHERE rsi > 40", (v.BARS, *v.ind_ctes()))
 add("j02_bars_left_indicators", lambda s, d: lk.with_indicators(a.bars_hourly(s, d), _some_indicators(s, d), "left"),
@@ -227,19 +229,19 @@ add("s08_chain_sides",
     ("options_ticker", "option_type"), ("strike",), "SELECT * FROM quotes", (v.QUOTES,))
 
 
-SYMBOLS = ("click", "error", "purchase", "signup", "view")
-
-
 def _wide_bars(s, d):
-    """One row per hour, columns symbol_field, as a download of several symbols has them."""
+    """One row per hour, columns symbol_field, as a download of several symbols has them; the symbols come from the data."""
     bars = a.bars_hourly(s, d)
-    return bars.groupBy("ts").agg(*[
-        F.max(F.when(F.col("symbol") == x, F.col(c))).alias(f"{x}_{c}") for x in SYMBOLS for c in ("close", "volume")
-    ])
+    return bars.groupBy("ts").pivot("symbol").agg(F.max("close").alias("close"), F.max("volume").alias("volume"))
+
+
+def _long_bars(s, d):
+    wide = _wide_bars(s, d)
+    symbols = [c.removesuffix("_close") for c in wide.columns if c.endswith("_close")]
+    return pl.wide_to_long(wide, symbols, ("close", "volume"))
 
 
-add("s09_wide_to_long", lambda s, d: pl.wide_to_long(_wide_bars(s, d), SYMBOLS, ("close", "volume")), (*KEY, "volume"), ("close",),
-    "SELECT * FROM bars", (v.BARS,))
+add("s09_wide_to_long", _long_bars, (*KEY, "volume"), ("close",), "SELECT * FROM bars", (v.BARS,))
 
 
 def _points(s, d):

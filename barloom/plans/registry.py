@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,10 @@ def add(
 ) -> None:
     """Register a query.  Result columns are ``exact`` as they are, ``rounded`` to ``digits``."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and context.master.startswith("local"):
+            # The operators demand a shared folder; only a local trial run of a query gets one of its own.
+            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='barloom-')}")
         df = fn(spark, sf_dir)
         return df.select(*[_plain(df, c) for c in exact], *[_rounded(c, digits) for c in rounded])
 

@@ -55,7 +55,7 @@ def _upserted(s, d):
     base = a.bars_hourly(s, d).withColumn("version", F.lit(0))
     writers.upsert(s, path, base, ["symbol", "ts"], order=["version"])
     writers.upsert(s, path, quality._changes(s, d), ["symbol", "ts"], ["close", "version"], ["version"])
-    return s.read.parquet(path)
+    return writers.read_current(s, path)
 
 
 add("k04_upsert_table", _upserted, (*KEY, "volume", "version"), ("close", "open"),
@@ -132,7 +132,7 @@ add("st01_greeks_stream", lambda s, d: drained(s, jobs.greeks_stream(_live_quote
        CASE WHEN t <= 0 THEN 0 ELSE vega END AS vega, CASE WHEN t <= 0 THEN 0 ELSE theta END AS theta, CASE WHEN t <= 0 THEN 0 ELSE rho END AS rho FROM greeks""",
     (v.QUOTES, *v.greeks_ctes(t="epoch(expiration::TIMESTAMP - ts) / (365.25::DOUBLE * 24 * 3600)")))
 
-SLICES = ("2024-01-01", "2024-01-11", "2024-01-21", "2999-01-01")
+SLICES = ("0001-01-01", "2024-01-11", "2024-01-21", "2999-01-01")
 
 
 def _stateful(s, d):
@@ -222,7 +222,7 @@ def _upsert_stream(s, d):
         F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts"), "user_id", F.col("event_type").alias("symbol"),
         F.col("value").alias("price"), "event_id")
     jobs.finish(jobs.upsert_stream(live, f"{root}/table", ["user_id", "symbol", "ts"], f"{root}/checkpoint", order=("event_id",), trigger=jobs.AVAILABLE))
-    return s.read.parquet(f"{root}/table")
+    return writers.read_current(s, f"{root}/table")
 
 
 add("st07_upsert_stream", _upsert_stream, ("user_id", "symbol", "ts", "event_id"), ("price",),

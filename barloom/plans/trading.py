@@ -260,18 +260,36 @@ NAME = """CASE outlook WHEN 'bullish' THEN CASE WHEN risk_tolerance = 'aggressiv
   WHEN 'bearish' THEN CASE WHEN risk_tolerance = 'aggressive' THEN 'Long Put' ELSE 'Bear Put Spread' END
   WHEN 'neutral' THEN CASE WHEN implied_volatility > 0.3 THEN 'Iron Condor' ELSE 'Covered Call' END ELSE 'Long Straddle' END"""
 NAMED = f"named AS (SELECT *, {NAME} AS strategy FROM legs_input)"
-LEG_ROWS = ", ".join(
-    f"('{name}', {i}, '{leg[0]}', '{leg[1]}', {'NULL' if leg[2] is None else leg[2]}::DOUBLE, {leg[3]}, {parts[1]}, '{parts[3]}', '{parts[4]}')"
-    for name, parts in st.LEGS.items() for i, leg in enumerate(parts[0]))
-LEG_TABLE = f"legs AS (SELECT * FROM (VALUES {LEG_ROWS}) AS t(strategy, leg_no, action, option_type, multiple, quantity, cap, max_loss, breakeven))"
+# Fixed values, written out apart from the operator's own table.
+LEG_TABLE = """legs AS (SELECT * FROM (VALUES
+  ('Long Call', 0, 'buy', 'call', 1.05::DOUBLE, 1, 60, 'Unlimited', 'Premium paid', 'Strike + Premium'),
+  ('Bull Call Spread', 0, 'buy', 'call', 1.02, 1, 45, NULL, 'Net premium paid', 'Lower strike + Net premium'),
+  ('Bull Call Spread', 1, 'sell', 'call', 1.08, 1, 45, NULL, 'Net premium paid', 'Lower strike + Net premium'),
+  ('Long Put', 0, 'buy', 'put', 0.95, 1, 60, 'Strike - Premium', 'Premium paid', 'Strike - Premium'),
+  ('Bear Put Spread', 0, 'buy', 'put', 0.98, 1, 45, NULL, 'Net premium paid', 'Upper strike - Net premium'),
+  ('Bear Put Spread', 1, 'sell', 'put', 0.92, 1, 45, NULL, 'Net premium paid', 'Upper strike - Net premium'),
+  ('Iron Condor', 0, 'sell', 'put', 0.95, 1, 30, 'Net premium received', 'Width of spread - Net premium', 'Two breakevens'),
+  ('Iron Condor', 1, 'buy', 'put', 0.90, 1, 30, 'Net premium received', 'Width of spread - Net premium', 'Two breakevens'),
+  ('Iron Condor', 2, 'sell', 'call', 1.05, 1, 30, 'Net premium received', 'Width of spread - Net premium', 'Two breakevens'),
+  ('Iron Condor', 3, 'buy', 'call', 1.10, 1, 30, 'Net premium received', 'Width of spread - Net premium', 'Two breakevens'),
+  ('Covered Call', 0, 'own', 'stock', NULL, 100, 30, 'Strike - Stock cost + Premium', 'Stock cost - Premium', 'Stock cost - Premium'),
+  ('Covered Call', 1, 'sell', 'call', 1.05, 1, 30, 'Strike - Stock cost + Premium', 'Stock cost - Premium', 'Stock cost - Premium'),
+  ('Long Straddle', 0, 'buy', 'call', 1.0, 1, 45, 'Unlimited', 'Total premium paid', 'Strike ± Total premium'),
+  ('Long Straddle', 1, 'buy', 'put', 1.0, 1, 45, 'Unlimited', 'Total premium paid', 'Strike ± Total premium')
+) AS t(strategy, leg_no, action, option_type, multiple, quantity, cap, max_profit, max_loss, breakeven))"""
 add("r10_recommend_strategy", lambda s, d: st.recommend_strategy(a.legs_input(s, d)), ("p_partkey", "strategy", "error"), (),
     "SELECT *, NULL::VARCHAR AS error FROM named", (v.LEGS_INPUT, NAMED))
 add("r11_strategy_legs",
     lambda s, d: st.explode_legs(st.strategy_legs(st.recommend_strategy(a.legs_input(s, d)))).withColumns(
-        {"leg_no": F.col("leg_no").cast("bigint"), "recommended_dte": F.col("recommended_dte").cast("bigint")}),
-    ("p_partkey", "strategy", "leg_no", "action", "option_type", "quantity", "recommended_dte", "max_loss", "breakeven"), ("strike",),
+        {"leg_no": F.col("leg_no").cast("bigint"), "recommended_dte": F.col("recommended_dte").cast("bigint"),
+         # A width of strikes is compared as a number, the text around it as text.
+         "profit_amount": F.regexp_extract("max_profit", r"^\$([0-9.Ee+-]+) - Net Premium$", 1).try_cast("double"),
+         "profit_text": F.regexp_replace("max_profit", r"^\$[0-9.Ee+-]+", "\\$")}),
+    ("p_partkey", "strategy", "leg_no", "action", "option_type", "quantity", "recommended_dte", "profit_text", "max_loss", "breakeven"), ("strike", "profit_amount"),
     """SELECT n.*, leg_no::BIGINT AS leg_no, action, option_type, quantity::BIGINT AS quantity, least(time_to_expiration, cap)::BIGINT AS recommended_dte,
-       max_loss, breakeven, current_price * multiple AS strike FROM named n JOIN legs USING (strategy)""", (v.LEGS_INPUT, NAMED, LEG_TABLE))
+       coalesce(max_profit, '$ - Net Premium') AS profit_text, max_loss, breakeven, current_price * multiple AS strike,
+       CASE strategy WHEN 'Bull Call Spread' THEN current_price * 1.08::DOUBLE - current_price * 1.02::DOUBLE
+                     WHEN 'Bear Put Spread' THEN current_price * 0.98::DOUBLE - current_price * 0.92::DOUBLE END AS profit_amount FROM named n JOIN legs USING (strategy)""", (v.LEGS_INPUT, NAMED, LEG_TABLE))
 
 
 def _strategies(s, d):

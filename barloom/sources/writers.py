@@ -108,33 +108,82 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _marker(path: str) -> str:
+    return f"{path.rstrip('/')}__commit"
+
+
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file at once: written beside its place and renamed."""
+    fs, p = _fs(spark, path)
+    beside = p.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(beside)
+    out.writeBytes(text)
+    out.close()
+    if not fs.rename(beside, p):
+        fs.delete(beside, False)
+        raise FileExistsError(f"another update of this table is under way: {path}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring a table that an interrupted ``upsert`` left behind to its committed state.
+
+    A marker beside the table names finished partitions that have yet to move in; moving them again and again gives
+    the same table.  Without a marker nothing was committed, and the table is as it was.
+    """
+    marker = _marker(path)
+    fs, p = _fs(spark, marker)
+    if not fs.exists(p):
+        return
+    staging = spark.sparkContext.wholeTextFiles(marker).first()[1]
+    _, source = _fs(spark, staging)
+    _, root = _fs(spark, path)
+    fs.mkdirs(root)
+    if fs.exists(source):
+        for status in fs.listStatus(source):
+            new = status.getPath()
+            if new.getName().startswith("date="):
+                old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, new.getName())
+                fs.delete(old, True)
+                if not fs.rename(new, old):
+                    raise OSError(f"{new} could not be moved into the table")
+        fs.delete(source, True)
+    fs.delete(p, False)
+
+
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
            update_cols: Sequence[str] | None = None, order: Sequence[str] = (), ts: str = "ts") -> str:
     """Insert-or-update a Parquet table kept as date partitions.
 
     Only partitions the updates touch are read and rewritten (``ts`` is part of the key, so
-    a key never changes partition).  The merged partitions are first written next to the
-    table, then replace the old ones by dynamic partition overwrite from those files, so no
-    plan reads what it overwrites and a failed job leaves a complete copy behind.
+    a key never changes partition).  The updates are evaluated once, reduced to one row per key, and staged.  The merged
+    partitions are written beside the table; then a marker commits them; then they move in.  A failure before the marker
+    leaves the table as it was, one after it is finished by ``recover``, which every upsert and ``read_current`` run first.
+    One job at a time may update a table.
     """
-    dated = updates.withColumn("date", F.to_date(ts))
-    if not path_exists(spark, path):
-        first = newest_per_key(dated, [*keys, "date"], order or [c for c in updates.columns if c not in keys])
-        first.write.partitionBy("date").mode("overwrite").parquet(path)
-        return path
-    target = spark.read.parquet(path)
-    touched = target.join(dated.select("date").distinct(), "date", "left_semi").select(*dated.columns)
-    merged = merge_updates(touched, dated, [*keys, "date"], update_cols, order)
+    recover(spark, path)
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
-    merged.write.parquet(staging)
-    spark.read.parquet(staging).write.partitionBy("date").mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(path)
+    dated = updates.withColumn("date", F.to_date(ts))
+    newest_per_key(dated, [*keys, "date"], order or [c for c in updates.columns if c not in keys]).write.parquet(f"{staging}/updates")
+    dated = spark.read.schema(dated.schema).parquet(f"{staging}/updates")
+    merged = dated
+    if path_exists(spark, path):
+        target = spark.read.parquet(path)
+        touched = target.join(dated.select("date").distinct(), "date", "left_semi").select(*dated.columns)
+        merged = merge_updates(touched, dated, [*keys, "date"], update_cols, order)
+    merged.write.partitionBy("date").parquet(f"{staging}/merged")
+    _put_text(spark, _marker(path), f"{staging}/merged")
+    recover(spark, path)
     fs, p = _fs(spark, staging)
     fs.delete(p, True)
     return path
 
 
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The table as last committed, also after an interrupted upsert."""
+    recover(spark, path)
+    return spark.read.parquet(path)
+
+
 def write_symbol_files(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """One directory per symbol; a large symbol is split over as many files as tasks wrote it."""
     w = df.write.partitionBy("symbol").mode("overwrite")

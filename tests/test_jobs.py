@@ -1,9 +1,12 @@
 """Sinks and streaming: idempotent upserts, stream = batch over restarts, late rows, quarantine."""
 
+import shutil
 from datetime import date
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import by_key
 from pyspark.sql import functions as F
 
@@ -26,6 +29,39 @@ def test_upsert_twice_changes_nothing(spark, bars, tmp_path):
     assert not list(tmp_path.glob("*staging*"))
 
 
+def test_interrupted_upsert_is_finished_or_undone(spark, bars, tmp_path, monkeypatch):
+    path, keys = str(tmp_path / "table"), ["symbol", "ts"]
+    writers.upsert(spark, path, bars, keys)
+    changes = bars.filter("symbol = 'BIG'").withColumn("close", F.lit(1.0))
+    n, big = bars.count(), changes.count()
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    ones = lambda: (writers.read_current(spark, path).count(), writers.read_current(spark, path).filter("close = 1.0").count())
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_put_text", stop)
+        with pytest.raises(RuntimeError):
+            writers.upsert(spark, path, changes, keys)
+    assert ones() == (n, 0)
+    finish = writers.recover
+    calls = []
+    with monkeypatch.context() as m:
+        m.setattr(writers, "recover", lambda *x: stop() if calls else calls.append(finish(*x)))
+        with pytest.raises(RuntimeError):
+            writers.upsert(spark, path, changes, keys)
+    # One partition is already gone when the job dies; the marker still knows all.
+    shutil.rmtree(sorted((tmp_path / "table").glob("date=*"))[0])
+    assert ones() == (n, big)
+    assert ones() == (n, big) and not (tmp_path / "table__commit").exists()
+
+
+def test_shared_folder_is_required():
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(unset, "x")
+
+
 def test_retention(spark, bars, tmp_path):
     path = str(tmp_path / "t")
     bars.withColumn("date", F.to_date("ts")).write.partitionBy("date").parquet(path)
