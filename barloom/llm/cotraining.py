@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
     chosen = docs.where(hash_share("doc_id", labelled, n_labels, "labelled") | hash_share("doc_id", pool, docs.count(), "pool"))
     rows = chosen.join(marks, F.col("doc_id") == F.col("_id"), "left").where(F.col("_id").isNull() | hash_share("doc_id", labelled, n_labels, "labelled"))
     views = rows.select(F.col("doc_id").cast("long"), "_label", F.col("text").cast("binary"), *META).mapInArrow(_view_rows, FEATURES)
-    model = views.coalesce(1).mapInArrow(_fit(options), "name string, weights array<double>").collect()
+    model = views.repartition(1).mapInArrow(_fit(options), "name string, weights array<double>").collect()
     return {r.name: np.array(r.weights) for r in model}
 
 

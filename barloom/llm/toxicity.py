@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     share = hash_share("doc_id", labelled, marks.count(), "toxic")
     rows = docs.where(share).join(marks, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "_label", F.col("text").cast("binary"))
-    model = rows.mapInArrow(_features, ROW).coalesce(1).mapInArrow(_fit(kept), "name string, weights array<double>").collect()
+    model = rows.mapInArrow(_features, ROW).repartition(1).mapInArrow(_fit(kept), "name string, weights array<double>").collect()
     return {r.name: np.array(r.weights) for r in model}
 
 
