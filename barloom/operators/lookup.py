@@ -90,16 +90,14 @@ def universe_symbols(universe: DataFrame, sector: str | None = None) -> DataFram
 
 
 def market_movers(changes: DataFrame, k: int = 20, by="symbol") -> DataFrame:
-    """Top gainers, top losers and most active rows; input has change_pct and volume."""
-    lists = {
-        "top_gainers": F.col("change_pct").desc_nulls_last(),
-        "top_losers": F.col("change_pct").asc_nulls_last(),
-        "most_actively_traded": F.col("volume").desc_nulls_last(),
-    }
-    parts = [
-        changes.orderBy(order, by).limit(k).withColumn("list", F.lit(name)) for name, order in lists.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Top gainers, top losers and most active rows; input has change_pct and volume.
+
+    One pass: every row stands for each list with its sort value, and each map task keeps k rows per list.
+    """
+    value = {"top_gainers": -F.col("change_pct"), "top_losers": F.col("change_pct"), "most_actively_traded": -F.col("volume")}
+    lists = F.array(*[F.struct(F.lit(name).alias("list"), v.cast("double").alias("_value")) for name, v in value.items()])
+    listed = changes.select("*", F.inline(lists))
+    return first_ranked(listed, "list", [F.col("_value").asc_nulls_last(), F.col(by)], k).drop("_value")
 
 
 def expirations(quotes: DataFrame, as_of=None) -> DataFrame:

@@ -139,11 +139,11 @@ MOMENTUM_SCORE = """least(greatest(0.5::DOUBLE
   + CASE WHEN volume_ratio > 1.5 THEN 0.1::DOUBLE WHEN volume_ratio < 0.5 THEN -0.1::DOUBLE ELSE 0 END, 0), 1)"""
 
 
-def signal_ctes(days: int = 1) -> list[str]:
-    """Signals over bars, indicators and predictions."""
+def signal_ctes(days: int = 1, predictions: tuple[str, ...] = (PREDICTIONS,)) -> list[str]:
+    """Signals over bars, indicators and predictions; ``predictions`` ends in a view ``preds``."""
     factor = math.sqrt(days / 252)
     return [
-        BARS, *ind_ctes(), PREDICTIONS,
+        BARS, *ind_ctes(), *predictions,
         f"""sig0 AS (SELECT i.ts, i.symbol, p.current_price, p.predicted_price,
   coalesce(p.confidence, 0.5) AS conf, coalesce(i.volatility_20d, 0.2) AS vol, i.close,
   (p.predicted_price - p.current_price) / nullif(p.current_price, 0) AS expected_return,

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from barloom.operators import signals as sg
 from barloom.operators import indicators as ind
 from barloom.plans import quality, trading, windows
 from barloom.plans import sql_views as v
@@ -255,4 +256,7 @@ def _cycle(s, d):
     return made.join(signal, ["symbol", "ts"])
 
 
-add("st09_prediction_cycle", _cycle, (*KEY, "signal_type"), ("predicted_price", "confidence", "target_price", "stop_loss"))
+NEWEST = """preds AS (SELECT symbol, max(ts) AS prediction_time, arg_max(close, ts) AS current_price, 0.5::DOUBLE AS confidence,
+  any_value(c) + any_value(b) * arg_max(close, ts) AS predicted_price FROM bars JOIN fit USING (symbol) GROUP BY symbol)"""
+add("st09_prediction_cycle", _cycle, (*KEY, "signal_type"), ("predicted_price", "confidence", "target_price", "stop_loss"),
+    "SELECT *, target_1 AS target_price FROM signals", v.signal_ctes(sg.HORIZON_DAYS["short"], (trading.ONE, trading.FIT, NEWEST)))

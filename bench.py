@@ -19,6 +19,8 @@ HEADLINE = [
     "x01_sql_functions", "q11_payoff_european", "q13_var_cvar", "q17_max_pain", "v01_validate_bars", "v02_validate_quotes", "v05_outliers_iqr",
     "a01_mape_over_time", "a08_regression_metrics", "a15_draw_summary", "k04_merge_updates", "k08_quote_points",
     "m02_train_per_symbol", "m04_forecast_ar", "m10_drift", "r08_signals_short", "r11_strategy_legs", "r12_r14_expiry_strategies",
+    "s13_adjust_bars", "q17_iv_percentile", "q11_payoff_down_out", "m03_predict_per_symbol", "m05_ar_orders", "t07_market_movers",
+    "st02_stateful_indicators", "st07_upsert_stream",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
