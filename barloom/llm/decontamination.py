@@ -47,6 +47,16 @@ class NgramSet:
                 hashes[width].update(self._rolled(ids, width).tolist())
         self.hashes = {width: np.array(sorted(found), dtype=np.uint64) for width, found in sorted(hashes.items())}
 
+    def plain(self) -> tuple:
+        """What is broadcast: nothing that an executor would have to import."""
+        return self.word_ids, dict(self.items_of), self.hashes
+
+    @classmethod
+    def of(cls, plain: tuple) -> NgramSet:
+        made = cls(())
+        made.word_ids, made.items_of, made.hashes = plain
+        return made
+
     @staticmethod
     def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
         h = np.zeros(len(ids) - width + 1, dtype=np.uint64)
@@ -99,7 +109,7 @@ ADDED = T.StructType([
 
 def _scan(broadcast, text: str, cut: bool, first: bool, emit_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: NgramSet = broadcast.value
+        grams = NgramSet.of(broadcast.value)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             texts = batch.column(at).cast(pa.binary()).to_pylist()
@@ -160,7 +170,7 @@ def scan(
         last = k == parts - 1
         emit_text = text in kept or not last
         schema = T.StructType([*[f for f in docs.schema.fields if emit_text or f.name != text], *ADDED.fields])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(grams), text, cut and last, k == 0, emit_text), schema)
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(grams.plain()), text, cut and last, k == 0, emit_text), schema)
         if not last:
             out = staged(out, "dc-part")
     return out
