@@ -8,6 +8,10 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barloom.shipping import ship
+
+ship(__name__)
+
 # Coefficients of the rational approximation of the normal CDF
 # published by G. West, "Better approximations to cumulative normal functions" (2005).
 WEST_NUMERATOR = (

@@ -26,6 +26,9 @@ from barloom.functions.mathfn import (
     norm_ppf,
     upper_tail,
 )
+from barloom.shipping import ship
+
+ship(__name__)
 
 RATE, DIVIDEND = 0.05, 0.02
 YEAR_SECONDS = 365.25 * 24 * 3600

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators import ordered as o
+from barloom.shipping import ship
+
+ship(__name__)
 
 
 def _full(value: Column, column: str, frame, min_periods: int) -> Column:

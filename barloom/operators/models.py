@@ -20,6 +20,9 @@ from barloom.operators import ordered as o
 from barloom.operators.lookup import instant, last_n
 from barloom.operators.prep import fit_scaler, scale
 from barloom.operators.quantiles import exact_quantiles
+from barloom.shipping import ship
+
+ship(__name__)
 
 
 def _gram(x: Sequence, y=None):

@@ -133,6 +133,18 @@ def _recovered(s, d):
 
 add("q09_implied_vol", _recovered, TICKER, ("iv",),
     "SELECT options_ticker, CASE WHEN vega * 100 > 1 THEN v END AS iv FROM greeks", (v.QUOTES, *G), digits=4)
+
+
+def _repriced(s, d):
+    """Every row, also where the volatility itself cannot be recovered: the solved one has to give the price again."""
+    known = op.with_values(a.quotes(s, d), ("price",)).withColumnRenamed("price", "known")
+    solved = op.implied_vol(known, price="known")
+    again = op.with_values(solved, ("price",))
+    return again.withColumn("reproduced", F.abs(F.col("price") - F.col("known")) < 1e-4)
+
+
+add("q09_repriced", _repriced, (*TICKER, "reproduced"), ("known",),
+    "SELECT options_ticker, true AS reproduced, price AS known FROM greeks", (v.QUOTES, *G), digits=4)
 ZED = NormalDist().inv_cdf(0.84)
 add("q10_expected_move", lambda s, d: op.expected_move(a.quotes(s, d)), TICKER,
     ("move_dollars", "upper_bound", "lower_bound", "move_percent"),

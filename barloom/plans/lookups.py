@@ -10,6 +10,7 @@ from barloom.plans import shapes
 from barloom.plans import sql_views as v
 from barloom.plans.registry import AS_OF, add
 from barloom.sources import adapters as a
+from barloom.sources.storage import staged
 from barloom.sources import payloads as pl
 
 KEY = ("ts", "symbol")
@@ -56,7 +57,7 @@ add("t06_top_n_per_sector", lambda s, d: lk.top_n_per_sector(a.universe(s, d), 1
 
 
 def _movers(s, d):
-    changed = ind.previous_change(a.bars_hourly(s, d))
+    changed = ind.previous_change(staged(a.bars_hourly(s, d), "bars"))
     return lk.market_movers(lk.latest(changed), 3)
 
 
@@ -148,7 +149,7 @@ def _returnflag_quotes(s, d):
 
 
 add("j05_underlying_as_of",
-    lambda s, d: lk.attach_underlying(_returnflag_quotes(s, d), a.bars_daily(s, d), slot="4 weeks"),
+    lambda s, d: lk.attach_underlying(_returnflag_quotes(s, d), staged(a.bars_daily(s, d), "bars"), slot="4 weeks"),
     ("ts", "symbol", "options_ticker"), ("underlying_price",),
     """SELECT q.ts, q.symbol, options_ticker, b.close AS underlying_price FROM (SELECT l_returnflag AS symbol,
         l_shipdate + INTERVAL 26 HOUR AS ts, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS options_ticker

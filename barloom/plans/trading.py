@@ -16,6 +16,7 @@ from barloom.plans import shapes
 from barloom.plans import sql_views as v
 from barloom.plans.registry import AS_OF, add
 from barloom.sources import adapters as a
+from barloom.sources.storage import staged
 
 KEY = ("ts", "symbol")
 PRED_CTES = (v.BARS, v.PREDICTIONS)
@@ -37,7 +38,8 @@ def _training_layer(df, w):
 def training_data(s, d):
     """Features, next close and split in one ordered pass."""
     made = o.ordered(a.bars_hourly(s, d), _training_layer, back=14, ahead=1)
-    return made.dropna(subset=["target", *FEATURES])
+    # Scaler, fit and score read the features: staged, the ticks are scanned for them once.
+    return staged(made.dropna(subset=["target", *FEATURES]), "training")
 
 
 def trained(s, d, fit_on="train"):
@@ -98,8 +100,8 @@ add("m04_forecast_one_step", _forecast_one, ("symbol", "step"), ("forecast", "lo
     """SELECT symbol, 1::BIGINT AS step, f AS forecast, f - 1.96 * sd AS lower_bound, f + 1.96 * sd AS upper_bound FROM (
        SELECT symbol, sd, close + c + b * y AS f FROM dy JOIN ar USING (symbol) JOIN err USING (symbol)
        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)""", (v.BARS, AR1))
-add("m05_ar_orders", lambda s, d: md.ar_orders(a.bars_hourly(s, d)), ("symbol", "order"), ("aic",))
-add("m05_best_order", lambda s, d: md.best_order(md.ar_orders(a.bars_hourly(s, d))), ("symbol", "order"), ("aic",))
+add("m05_ar_orders", lambda s, d: md.ar_orders(staged(a.bars_hourly(s, d), "bars")), ("symbol", "order"), ("aic",))
+add("m05_best_order", lambda s, d: md.best_order(md.ar_orders(staged(a.bars_hourly(s, d), "bars"))), ("symbol", "order"), ("aic",))
 
 
 def _recursive(s, d):

@@ -14,6 +14,7 @@ from barloom.plans import sql_views as v
 from barloom.plans.registry import AS_OF, add
 from barloom.sources import adapters as a
 from barloom.sources import readers
+from barloom.sources.storage import staged
 
 KEY = ("ts", "symbol")
 IND = ["sma_5", "sma_10", "sma_20", "sma_50"]
@@ -22,7 +23,7 @@ DAY = {"slot": "52 weeks"}  # daily bars: a slot holds at most 364 of them
 
 def flagship(spark, sf_dir):
     """Ticks to hourly bars, indicators, technical score, newest row per symbol."""
-    full = ind.indicator_set(a.bars_hourly(spark, sf_dir))
+    full = ind.indicator_set(staged(a.bars_hourly(spark, sf_dir), "bars"))
     scored = full.withColumn("technical_score", sg.technical_score(full.columns))
     return lk.latest(scored)
 
@@ -54,7 +55,7 @@ def _actions(bars):
 
 
 def _adjusted(s, d):
-    bars = a.bars_hourly(s, d)
+    bars = staged(a.bars_hourly(s, d), "bars")
     return readers.adjust_bars(bars, *_actions(bars))
 
 
@@ -110,7 +111,8 @@ def _indicator(name, op, columns, daily=False):
     source = "daily" if daily else "bars"
     read = a.bars_daily if daily else a.bars_hourly
     kw = DAY if daily else {}
-    add(name, lambda s, d: op(read(s, d), **kw), KEY, columns,
+    # Ordered operators read their input twice: the ticks are resampled once, into a stored table.
+    add(name, lambda s, d: op(staged(read(s, d), "bars"), **kw), KEY, columns,
         "SELECT * FROM ind",
         (v.DAILY if daily else v.BARS, *v.ind_ctes(source)))
 

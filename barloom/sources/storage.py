@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date, timedelta
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from barloom.sources.writers import _fs, path_exists
 
@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For an expensive input that the next step reads several times, such as resampled bars before an ordered operator:
+    the source is then scanned once, and lost executors do not cost the work again.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_old_partitions(spark: SparkSession, path: str, as_of: date, keep_days: int) -> list[str]:
     """Delete ``date=...`` folders older than ``keep_days`` before ``as_of``; returns their names.
 

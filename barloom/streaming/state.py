@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barloom.shipping import ship
+
+ship(__name__)
+
 HISTORY = 50
 BAR_FIELDS = ("open", "high", "low", "close", "volume")
 EMA_SPANS = {"e12": 12, "e26": 26, "e9": 9}
