@@ -8,10 +8,11 @@ and every level of the recursion moves them again.  So this version sorts only a
 * The tuple of a sample is (gram, phrase, document, place): ``phrase`` stands for the common prefix of all windows that belong to the
   sample, which are those that start at lo..hi.  Spark's external sort (sorted runs on disk, merged through a priority queue) brings equal
   tuples together in text order, and a streaming pass decides them: all but the first of a phrase repeat it with every window.
-* One level down, the first tuples of different phrases around one gram are induced window by window: each window is hashed (102 bits),
+* One level down, the first tuples of different phrases around one gram are induced window by window: each window is hashed (128 bits),
   sorted in the same way, and all but the first occurrence repeat.
 
-A first occurrence of a window always reaches the lower level if another phrase may hold it, so the result is exact up to 102-bit hashes.
+A first occurrence of a window always reaches the lower level if another phrase may hold it, so the result is exact up to the hashes: 64 bits tell
+the phrases around one gram apart (the gram is the same for all of them), 128 bits tell windows apart.
 """
 
 from __future__ import annotations
@@ -38,19 +39,19 @@ SEGMENT, GATHER = 1 << 21, 24 << 20
 HOT = 8
 NO_ID = -(1 << 63)
 
-# What a tuple knows besides its gram, document and start: phrase (38 bits) | hi - lo (7 bits) | hash of the text (16 bits) | kind (2 bits).
+# What a tuple knows besides its gram, phrase and document: start (38 bits) | hi - lo (7 bits) | hash of the text (16 bits) | kind (2 bits).
 PLAIN, DEALT, WITNESS, REPEAT = range(4)
-PHRASE_BITS, TEXT_MASK = 38, 0xFFFF
-TUPLE = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "about", "doc", "lo")])
+TEXT_MASK = 0xFFFF
+TUPLE = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "phrase", "doc", "about")])
 FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("refine", T.BooleanType())])
 
 
-def pack(phrase: np.ndarray, width: np.ndarray, th: np.ndarray, kind) -> np.ndarray:
-    return (phrase.astype(np.int64) << 25) | (width.astype(np.int64) << 18) | (th.astype(np.int64) << 2) | kind
+def pack(lo: np.ndarray, width: np.ndarray, th: np.ndarray, kind) -> np.ndarray:
+    return (lo.astype(np.int64) << 25) | (width.astype(np.int64) << 18) | (th.astype(np.int64) << 2) | kind
 
 
 def unpack(about: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase, hi - lo, hash of the text and kind."""
+    """Start, hi - lo, hash of the text and kind."""
     return about >> 25, (about >> 18) & 0x7F, (about >> 2) & TEXT_MASK, about & 3
 
 
@@ -73,7 +74,7 @@ def samples(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, n
         at = (low - (keys[start] & low)).astype(np.int64)
         phrase = xxhash.xxh64_intdigest
         phrases = [phrase(view[i : j + length], s) for i, j, s in zip(lo.tolist(), hi.tolist(), (at - start).tolist(), strict=True)]
-        yield lo, hi, h[at], np.array(phrases, dtype=np.uint64) >> np.uint64(64 - PHRASE_BITS)
+        yield lo, hi, h[at], np.array(phrases, dtype=np.uint64)
 
 
 def later(keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +118,8 @@ def _reduced(gram, phrase, doc, th, lo, hi, by_gram: bool) -> pa.RecordBatch:
         witness = gram[starts[many]]
     none, ended = np.zeros(len(witness), dtype=np.int64), np.zeros(len(r_doc), dtype=np.int64)
     return _tuples(
-        np.concatenate([gram, witness, r_hi.astype(np.uint64)]),
-        np.concatenate([pack(phrase, hi - lo, th, kind), pack(none, none, none, WITNESS), pack(ended, ended, r_th, REPEAT)]),
-        np.concatenate([doc, none, r_doc]), np.concatenate([lo, none, r_lo]),
+        np.concatenate([gram, witness, r_hi.astype(np.uint64)]), np.concatenate([phrase, none.astype(np.uint64), ended.astype(np.uint64)]),
+        np.concatenate([doc, none, r_doc]), np.concatenate([pack(lo, hi - lo, th, kind), pack(none, none, none, WITNESS), pack(r_lo, ended, r_th, REPEAT)]),
     )
 
 
@@ -159,7 +159,7 @@ def _induce(length: int):
                 for at in range(0, len(spans), 20_000):
                     p = np.concatenate([np.arange(i, j + 1) for i, j in spans[at : at + 20_000].tolist()])
                     h = np.frombuffer(b"".join([digest(view[i : i + length]) for i in p.tolist()]), dtype=np.uint64).reshape(-1, 2)
-                    yield 16 * len(p), h[:, 0], h[:, 1] >> np.uint64(64 - PHRASE_BITS), np.full(len(p), doc, dtype=np.int64), np.full(len(p), th, dtype=np.int64), p, p
+                    yield 16 * len(p), h[:, 0], h[:, 1], np.full(len(p), doc, dtype=np.int64), np.full(len(p), th, dtype=np.int64), p, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(rows(batches), False)
@@ -179,20 +179,21 @@ def _decide(by_gram: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, about, doc, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            gram, phrase, doc, about = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             decided = about & 3 == REPEAT
-            yield _found(doc[decided], unpack(about[decided])[2], lo[decided], gram[decided], np.zeros(int(decided.sum()), dtype=bool))
-            gram, about, doc, lo = (x[~decided] for x in (gram, about, doc, lo))
+            lo, _, th, _ = unpack(about[decided])
+            yield _found(doc[decided], th, lo, gram[decided], np.zeros(int(decided.sum()), dtype=bool))
+            gram, phrase, doc, about = (x[~decided] for x in (gram, phrase, doc, about))
             if not len(gram):
                 continue
             if carried is not None:
-                gram, about, doc, lo = (np.concatenate(([c], x)) for c, x in zip(carried, (gram, about, doc, lo), strict=True))
-            phrase, width, th, kind = unpack(about)
+                gram, phrase, doc, about = (np.concatenate(([c], x)) for c, x in zip(carried, (gram, phrase, doc, about), strict=True))
+            lo, width, th, kind = unpack(about)
             first, repeats = later((gram, phrase, kind), doc, lo)
             repeats &= kind != WITNESS
             yield _found(doc[repeats], th[repeats], lo[repeats], lo[repeats] + width[repeats], np.zeros(int(repeats.sum()), dtype=bool))
             at = int(np.flatnonzero(first)[-1])
-            held = (gram[at], about[at], doc[at], lo[at])
+            held = (gram[at], phrase[at], doc[at], about[at])
             if by_gram:
                 opens = np.concatenate(([True], gram[1:] != gram[:-1]))
                 starts = np.flatnonzero(opens)
@@ -211,9 +212,9 @@ def _decide(by_gram: bool):
 
 
 def _ordered(tuples: DataFrame, n: int) -> DataFrame:
-    kind, phrase = F.col("about").bitwiseAND(F.lit(3)), F.shiftright("about", 25)
-    route = F.when(kind == REPEAT, F.xxhash64("doc")).when(kind == DEALT, F.xxhash64("gram", phrase)).otherwise(F.col("gram"))
-    return tuples.repartition(n, route).sortWithinPartitions("gram", phrase, kind, "doc", "lo")
+    kind = F.col("about").bitwiseAND(F.lit(3))
+    route = F.when(kind == REPEAT, F.xxhash64("doc")).when(kind == DEALT, F.xxhash64("gram", "phrase")).otherwise(F.col("gram"))
+    return tuples.repartition(n, route).sortWithinPartitions("gram", "phrase", kind, "doc", F.shiftright("about", 25))
 
 
 RESULT = T.StructType([
