@@ -39,20 +39,19 @@ SEGMENT, GATHER = 1 << 21, 24 << 20
 HOT = 8
 NO_ID = -(1 << 63)
 
-# What a tuple knows besides its gram, phrase and document: start (38 bits) | hi - lo (7 bits) | hash of the text (16 bits) | kind (2 bits).
+# What a tuple knows besides its gram, phrase, document and hash of the text (0 unless the id repeats or is null): start | hi - lo (7 bits) | kind (2 bits).
 PLAIN, DEALT, WITNESS, REPEAT = range(4)
-TEXT_MASK = 0xFFFF
-TUPLE = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "phrase", "doc", "about")])
+TUPLE = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "phrase", "doc", "th", "about")])
 FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("refine", T.BooleanType())])
 
 
-def pack(lo: np.ndarray, width: np.ndarray, th: np.ndarray, kind) -> np.ndarray:
-    return (lo.astype(np.int64) << 25) | (width.astype(np.int64) << 18) | (th.astype(np.int64) << 2) | kind
+def pack(lo: np.ndarray, width: np.ndarray, kind) -> np.ndarray:
+    return (lo.astype(np.int64) << 9) | (width.astype(np.int64) << 2) | kind
 
 
-def unpack(about: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hi - lo, hash of the text and kind."""
-    return about >> 25, (about >> 18) & 0x7F, (about >> 2) & TEXT_MASK, about & 3
+def unpack(about: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hi - lo and kind."""
+    return about >> 9, (about >> 2) & 0x7F, about & 3
 
 
 def samples(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,7 +118,7 @@ def _reduced(gram, phrase, doc, th, lo, hi, by_gram: bool) -> pa.RecordBatch:
     none, ended = np.zeros(len(witness), dtype=np.int64), np.zeros(len(r_doc), dtype=np.int64)
     return _tuples(
         np.concatenate([gram, witness, r_hi.astype(np.uint64)]), np.concatenate([phrase, none.astype(np.uint64), ended.astype(np.uint64)]),
-        np.concatenate([doc, none, r_doc]), np.concatenate([pack(lo, hi - lo, th, kind), pack(none, none, none, WITNESS), pack(r_lo, ended, r_th, REPEAT)]),
+        np.concatenate([doc, none, r_doc]), np.concatenate([th, none, r_th]), np.concatenate([pack(lo, hi - lo, kind), pack(none, none, WITNESS), pack(r_lo, ended, REPEAT)]),
     )
 
 
@@ -179,21 +178,20 @@ def _decide(by_gram: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, phrase, doc, about = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            gram, phrase, doc, th, about = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             decided = about & 3 == REPEAT
-            lo, _, th, _ = unpack(about[decided])
-            yield _found(doc[decided], th, lo, gram[decided], np.zeros(int(decided.sum()), dtype=bool))
-            gram, phrase, doc, about = (x[~decided] for x in (gram, phrase, doc, about))
+            yield _found(doc[decided], th[decided], unpack(about[decided])[0], gram[decided], np.zeros(int(decided.sum()), dtype=bool))
+            gram, phrase, doc, th, about = (x[~decided] for x in (gram, phrase, doc, th, about))
             if not len(gram):
                 continue
             if carried is not None:
-                gram, phrase, doc, about = (np.concatenate(([c], x)) for c, x in zip(carried, (gram, phrase, doc, about), strict=True))
-            lo, width, th, kind = unpack(about)
+                gram, phrase, doc, th, about = (np.concatenate(([c], x)) for c, x in zip(carried, (gram, phrase, doc, th, about), strict=True))
+            lo, width, kind = unpack(about)
             first, repeats = later((gram, phrase, kind), doc, lo)
             repeats &= kind != WITNESS
             yield _found(doc[repeats], th[repeats], lo[repeats], lo[repeats] + width[repeats], np.zeros(int(repeats.sum()), dtype=bool))
             at = int(np.flatnonzero(first)[-1])
-            held = (gram[at], phrase[at], doc[at], about[at])
+            held = (gram[at], phrase[at], doc[at], th[at], about[at])
             if by_gram:
                 opens = np.concatenate(([True], gram[1:] != gram[:-1]))
                 starts = np.flatnonzero(opens)
@@ -214,7 +212,7 @@ def _decide(by_gram: bool):
 def _ordered(tuples: DataFrame, n: int) -> DataFrame:
     kind = F.col("about").bitwiseAND(F.lit(3))
     route = F.when(kind == REPEAT, F.xxhash64("doc")).when(kind == DEALT, F.xxhash64("gram", "phrase")).otherwise(F.col("gram"))
-    return tuples.repartition(n, route).sortWithinPartitions("gram", "phrase", kind, "doc", F.shiftright("about", 25))
+    return tuples.repartition(n, route).sortWithinPartitions("gram", "phrase", kind, "doc", F.shiftright("about", 9))
 
 
 RESULT = T.StructType([
@@ -260,13 +258,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     surroundings is dealt by its phrase as well, so that no gram is a hot key.  Every pass streams sorted rows with a fixed state.
 
     Null and empty texts, and texts shorter than ``length``, lose nothing.  Rows that share an id and a place are not earlier than each other, so exact repeats
-    of a row keep the same bytes.  A null id is the smallest; an empty table gives an empty result; other columns are not read.
+    of a row keep the same bytes; different texts under one id, or under null, are told apart by a 64-bit hash.  A null id is the smallest; an empty table gives an empty result; other columns are not read.
     """
     if not 0 < length - gram + 1 <= 128:
         raise ValueError("a gram must be shorter than the length by 127 bytes at most")
     n = shuffle_partitions(docs.sparkSession)
-    texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(TEXT_MASK)).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"),
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    # Staged, so that the size of this table, which is small as a rule, is known before the texts are dealt for the join.
+    several = staged(docs.groupBy(own_id.alias("doc")).count().where(F.col("count") > 1).where(F.col("doc") != NO_ID).select(F.col("doc").alias("_several")), "suffix-ids")
+    texts = docs.select(own_id.alias("doc"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    texts = texts.join(several, (F.col("doc") == F.col("_several")) & (F.col("doc") != NO_ID), "left").select(
+        "doc", F.when(F.col("_several").isNotNull() | (F.col("doc") == NO_ID), F.col("th")).otherwise(F.lit(0).cast("long")).alias("th"), "data",
     )
     found = staged(_ordered(texts.mapInArrow(_sample(length, gram), TUPLE), n).mapInArrow(_decide(True), FOUND), "suffix-tuples")
     dealt = texts.repartition(n, "doc", "th")

@@ -83,3 +83,13 @@ def test_phrases_around_one_gram_are_told_apart(spark, docs_of):
     rows = [(1, "000000014103" + tail, "s"), (2, "000000421262" + tail, "s")]
     got = suffix_dedup.remove_repeats(docs_of(rows)).collect()
     assert key(got) == key(plain_repeats([r[:2] for r in rows], 100)) and all(r.n_removed == 0 for r in got)
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_many_texts_under_one_id_keep_their_own_spans(spark, docs_of, one_id):
+    """Many texts with a repeat inside, each at a place of its own: 16 bits of a hash mix up some of them."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(one_id, (w := word(rng.randint(20, 60))) + word(rng.randint(1, 30)) + w, "s") for _ in range(1_500)] + [(i, word(50), "s") for i in (1, 2, 9)]
+    got = suffix_dedup.remove_repeats(docs_of(rows).repartition(5), length=20, gram=6).collect()
+    assert key(got) == key(plain_repeats([r[:2] for r in rows], 20))
