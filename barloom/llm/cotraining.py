@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm._common import hash_share, ship
+from barloom.llm._common import ship, staged
 
 ship(__name__)
 
-#: Labelled documents, and documents of the pool without labels, that the models are fitted on at most (about; chosen by hash of the id).
+#: Labelled documents, and documents of the pool without labels, that the models are fitted on at most (about; chosen by hash).
 LABELLED, POOL = 8_000, 8_000
 #: Every FOLD-th labelled document is held out to calibrate the views and to weigh them.
 FOLD = 4
@@ -167,16 +167,42 @@ def _fit(options: dict):
 META = ("lang", "source", "n_chars")
 
 
+def _copies(share: Column, seed: str) -> Column:
+    """How many of ``count`` equal rows a sample takes: share * count, with the fraction decided by a hash."""
+    wanted = share * F.col("count")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return (F.floor(wanted) + (drawn < wanted - F.floor(wanted)).cast("long")).cast("int")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, pool: int) -> DataFrame:
+    """(doc_id, _label, text, metadata) of about ``labelled`` rows of documents with a label and ``pool`` rows without, all if there are no more.
+
+    Both shares are of rows of ``docs``, and they are drawn apart.  Rows are told apart by id and content, so those that share an id, or have none, are drawn
+    one by one; of equal rows the share of their number is taken.  Contents are read once for a narrow table of their hashes, and only the rows drawn are dealt.
+    """
+    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("_label"))
+    key = F.xxhash64(F.concat_ws(",", *[F.col(c).isNull() for c in META]), "text", *META)
+    groups = docs.groupBy("doc_id", key.alias("_key")).count()
+    known = groups.where(F.col("doc_id").isNotNull()).join(marks, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "_key", "count", "_label")
+    groups = staged(known.union(groups.where(F.col("doc_id").isNull()).select("doc_id", "_key", "count", F.lit(None).cast("int"))), "cotraining-rows")
+    n = groups.groupBy(F.col("_label").isNotNull().alias("labelled")).agg(F.sum("count").alias("n")).collect()
+    n = {r.labelled: r.n for r in n}
+    shares = [F.lit(min(1.0, wanted / n[of]) if n.get(of) else 1.0) for of, wanted in ((True, labelled), (False, pool))]
+    copies = F.when(F.col("_label").isNotNull(), _copies(shares[0], "labelled")).otherwise(_copies(shares[1], "pool"))
+    # About labelled + pool narrow rows at most, which also bound what the fit holds in one task, so they are broadcast.
+    drawn = groups.withColumn("_copies", copies).where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_label", "_copies")
+    found = docs.withColumn("_key", key).join(F.broadcast(drawn), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    once = found.select("doc_id", "_key", "_label", "_copies", "text", *META).dropDuplicates(["doc_id", "_key"])
+    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc_id", "_label", "text", *META)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL, **options) -> dict[str, np.ndarray]:
     """The model, fitted on about ``labelled`` labelled documents and ``pool`` others; few numbers, so it comes to the driver.
 
-    Features are made where the documents lie; only the sample's feature rows, bounded by the two numbers, meet in one task.
+    Features are made in parallel; only the sample's feature rows, bounded by the two numbers, meet in one task.
     An empty model, which calls everything good, results if the labels lack a class.
     """
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("_label"))
-    n_labels = marks.count()
-    chosen = docs.where(hash_share("doc_id", labelled, n_labels, "labelled") | hash_share("doc_id", pool, docs.count(), "pool"))
-    rows = chosen.join(marks, F.col("doc_id") == F.col("_id"), "left").where(F.col("_id").isNull() | hash_share("doc_id", labelled, n_labels, "labelled"))
+    rows = sample(docs, labels, label, labelled, pool)
     views = rows.select(F.col("doc_id").cast("long"), "_label", F.col("text").cast("binary"), *META).mapInArrow(_view_rows, FEATURES)
     model = views.repartition(1).mapInArrow(_fit(options), "name string, weights array<double>").collect()
     return {r.name: np.array(r.weights) for r in model}

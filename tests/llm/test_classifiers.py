@@ -4,6 +4,7 @@ import random
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barloom.llm import cotraining, queries, toxicity
@@ -114,3 +115,32 @@ def test_any_text_has_a_view():
     for text in (b"", b" ", b"\n\n", b"\xff\xfe", bytes(rng.randrange(256) for _ in range(5_000)), b"a" * 100_000):
         view = cotraining.text_view(text)
         assert np.isfinite(view).all() and len(view) == cotraining.STATS + cotraining.SHAPES + cotraining.WORDS
+
+
+def _count_rows(options):
+    """In place of the fit: how many rows with and without a label reach it."""
+    def run(batches):
+        labels = [v for b in batches for v in b.column(1).to_pylist()]
+        n = [float(sum(v is not None for v in labels)), float(sum(v is None for v in labels))]
+        yield pa.RecordBatch.from_arrays([pa.array(["rows"]), pa.array([n], pa.list_(pa.float64()))], names=["name", "weights"])
+
+    return run
+
+
+def test_sample_of_the_fit_is_bounded(spark, monkeypatch):
+    """Few labels, labels on many rows, and many rows with one id or none: each share is drawn from its own rows."""
+    monkeypatch.setattr(cotraining, "_fit", _count_rows)
+    rows = lambda n, doc, content: spark.range(n).selectExpr(f"{doc} AS doc_id", f"concat('text ', {content}) AS text", "'en' AS lang", "'s' AS source", "9L AS n_chars")
+    docs = rows(4_000, "id", "id")
+    labels = lambda n: spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    near = lambda got, want: 0.75 * want < got < 1.25 * want
+    few = cotraining.fit(docs, labels(50), labelled=400, pool=400)["rows"]
+    assert few[0] == 50 and near(few[1], 400)
+    many = cotraining.fit(docs, labels(1_600), labelled=400, pool=400)["rows"]
+    assert near(many[0], 400) and near(many[1], 400)
+    for one_id in ("CAST(NULL AS bigint)", "-1L"):
+        for content in ("id", "1"):
+            odd = docs.union(rows(2_000, one_id, content))
+            got = cotraining.fit(odd, labels(50), labelled=400, pool=400)["rows"]
+            assert got[0] == 50 and near(got[1], 400)
+    assert cotraining.fit(docs, labels(50), labelled=9_000, pool=9_000)["rows"].tolist() == [50, 3_950]
