@@ -45,8 +45,3 @@ def bars_pdf():
 @pytest.fixture(scope="session")
 def bars(spark, bars_pdf):
     return spark.createDataFrame(bars_pdf).cache()
-
-
-def by_key(df, *keys):
-    pdf = df.toPandas() if hasattr(df, "toPandas") else df
-    return pdf.sort_values(list(keys)).reset_index(drop=True)

@@ -6,7 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by_key
+from helpers import by_key
 from pyspark.sql import functions as F
 
 from barloom.functions import mathfn as m

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by_key
+from helpers import by_key
 from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by_key
+from helpers import by_key
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
