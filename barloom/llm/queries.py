@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat_parts, cotraining, decontamination, mixing, secret_ledger, simhash_bk, suffix_dedup, toxicity, warc_zip, winnowing
+from barloom.llm import (
+    chat_parts, cotraining, decontamination, language_id, lexical_search, mixing, secret_ledger, simhash_bk, structure_repair, suffix_dedup, toxicity,
+    warc_zip, winnowing,
+)
 from barloom.llm._common import table
 
 
@@ -49,11 +52,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.report(structure_repair.damage(table(spark, sf_dir, "conversations")), copies="copies")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_zip, op2_secret_ledger, op3_mix_to_weights, op4_chat_parts, op5_cotraining_quality,
         op6_simhash_bk_trees, op7_winnowing, op8_benchmark_decontamination, op9_ordinal_toxicity, op10_suffix_dedup,
+        op11_ranked_search, op12_structure_repair, op13_language_id,
     )
 }
-ORACLES = {"op2_secret_ledger": secret_ledger.ORACLE, "op3_mix_to_weights": mixing.ORACLE}
+ORACLES = {"op2_secret_ledger": secret_ledger.ORACLE, "op3_mix_to_weights": mixing.ORACLE, "op11_ranked_search": lexical_search.ORACLE}
