@@ -65,6 +65,27 @@ add("k04_upsert_table", _upserted, (*KEY, "volume", "version"), ("close", "open"
        UNION ALL SELECT ts + INTERVAL 30 MINUTE, symbol, open, close, volume, 1::INT FROM bars WHERE hour(ts) = 23""", (v.BARS,))
 
 
+def _some_without_time(df):
+    """Every fourth hour's rows lose their time; ``slot`` still tells them apart."""
+    return df.withColumn("slot", F.unix_seconds("ts")).withColumn("ts", F.when(F.hour("ts") % 4 != 0, F.col("ts")))
+
+
+def _upserted_null_times(s, d):
+    path, keys = shared_dir(s, "upsert-null"), ["symbol", "slot", "ts"]
+    changes = _some_without_time(quality._changes(s, d))
+    writers.upsert(s, path, _some_without_time(a.bars_hourly(s, d).withColumn("version", F.lit(0))), keys, order=["version"])
+    writers.upsert(s, path, changes, keys, ["close", "version"], ["version"])
+    # Once more with a part of the rows without a time only: the others of their partition stay.
+    writers.upsert(s, path, changes.where("ts IS NULL AND version = 2"), keys, ["close", "version"], ["version"])
+    return writers.read_current(s, path)
+
+
+add("k04_upsert_null_times", _upserted_null_times, ("symbol", "slot", "ts", "volume", "version"), ("close", "open"),
+    """SELECT symbol, epoch(ts)::BIGINT AS slot, CASE WHEN hour(ts) % 4 <> 0 THEN ts END AS ts, open, close + CASE WHEN hour(ts) < 2 THEN 2 WHEN hour(ts) < 6 THEN 1 ELSE 0 END AS close,
+       volume, CASE WHEN hour(ts) < 2 THEN 2 WHEN hour(ts) < 6 THEN 1 ELSE 0 END::INT AS version FROM bars
+       UNION ALL SELECT symbol, epoch(ts)::BIGINT + 1800, ts + INTERVAL 30 MINUTE, open, close, volume, 1::INT FROM bars WHERE hour(ts) = 23""", (v.BARS,))
+
+
 def _training_results(s, d):
     path = shared_dir(s, "results")
     writers.write_results(trading._one_feature(s, d)[1], path)

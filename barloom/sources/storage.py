@@ -7,7 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.sources.writers import _fs, path_exists
+from barloom.sources.writers import _fs, partition_date, partitions_of
 
 # Days kept per table.
 RETENTION_DAYS = {"ticks": 7, "bars": 30, "quotes": 30, "indicators": 90, "greeks": 90, "predictions": 365, "signals": 365}
@@ -35,16 +35,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def drop_old_partitions(spark: SparkSession, path: str, as_of: date, keep_days: int) -> list[str]:
     """Delete ``date=...`` folders older than ``keep_days`` before ``as_of``; returns their names.
 
-    Folder names are listed, no data is read.
+    Folder names are listed, no data is read.  Rows without a time have no age: their partition stays.
     """
-    if not path_exists(spark, path):
-        return []
-    fs, root = _fs(spark, path)
     limit = as_of - timedelta(days=keep_days)
-    removed = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("date=") and date.fromisoformat(name[5:]) < limit:
-            fs.delete(status.getPath(), True)
-            removed.append(name)
-    return sorted(removed)
+    old = [name for name in partitions_of(spark, path) if (day := partition_date(name)) is not None and day < limit]
+    for name in old:
+        fs, folder = _fs(spark, f"{path.rstrip('/')}/{name}")
+        fs.delete(folder, True)
+    return old

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,20 +83,22 @@ def newest_per_key(updates: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 def merge_updates(target: DataFrame, updates: DataFrame, keys: Sequence[str],
                   update_cols: Sequence[str] | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """The target after insert-or-update.  Columns outside ``update_cols`` keep the stored value."""
+    """The target after insert-or-update.  Columns outside ``update_cols`` keep the stored value; a null key equals a null key."""
     keys = list(keys)
     rest = [c for c in target.columns if c not in keys]
     changed = set(rest if update_cols is None else update_cols)
     incoming = newest_per_key(updates, keys, order or rest)
-    t = target.select(*keys, F.struct(*rest).alias("_t"))
-    u = incoming.select(*keys, F.struct(*rest).alias("_u"))
-    both = t.join(u, keys, "full")
-    has_old, has_new = F.col("_t").isNotNull(), F.col("_u").isNotNull()
+    t = target.select(F.struct(*keys).alias("_tk"), F.struct(*rest).alias("_t"))
+    u = incoming.select(F.struct(*keys).alias("_uk"), F.struct(*rest).alias("_u"))
+    same = [F.col("_tk")[k].eqNullSafe(F.col("_uk")[k]) for k in keys]
+    both = t.join(u, reduce(lambda a, b: a & b, same), "full")
+    has_old, has_new = F.col("_tk").isNotNull(), F.col("_uk").isNotNull()
+    named = [F.when(has_new, F.col("_uk")[k]).otherwise(F.col("_tk")[k]).alias(k) for k in keys]
     values = [
         F.when(has_new if c in changed else ~has_old, F.col("_u")[c]).otherwise(F.col("_t")[c]).alias(c)
         for c in rest
     ]
-    return both.select(*keys, *values).select(*target.columns)
+    return both.select(*named, *values).select(*target.columns)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -124,30 +128,53 @@ def _put_text(spark: SparkSession, path: str, text: str) -> None:
         raise FileExistsError(f"another update of this table is under way: {path}")
 
 
+def _committed(spark: SparkSession, path: str) -> str | None:
+    """Where the partitions of a committed but unfinished update lie."""
+    fs, marker = _fs(spark, _marker(path))
+    return spark.sparkContext.wholeTextFiles(_marker(path)).first()[1] if fs.exists(marker) else None
+
+
+def partitions_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the ``date=...`` folders below a path; none if it does not exist."""
+    fs, root = _fs(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(name for name in names if name.startswith("date="))
+
+
+NULL_PARTITION = "date=__HIVE_DEFAULT_PARTITION__"
+
+
+def partition_date(name: str) -> date | None:
+    """The date of a ``date=...`` folder; None for the one that holds rows without a time."""
+    return None if name == NULL_PARTITION else date.fromisoformat(name.removeprefix("date="))
+
+
 def recover(spark: SparkSession, path: str) -> None:
-    """Bring a table that an interrupted ``upsert`` left behind to its committed state.
+    """Finish an update that a dead writer committed; for writers only.
 
-    A marker beside the table names finished partitions that have yet to move in; moving them again and again gives
-    the same table.  Without a marker nothing was committed, and the table is as it was.
+    A marker beside the table names finished partitions that have yet to move in.  The old partition first moves aside,
+    then the new one takes its place; what was moved aside is deleted last, when the marker is gone.  Whatever step
+    was the last one, going on from it gives the same table.  Without a marker nothing was committed.
     """
-    marker = _marker(path)
-    fs, p = _fs(spark, marker)
-    if not fs.exists(p):
+    staging = _committed(spark, path)
+    if staging is None:
         return
-    staging = spark.sparkContext.wholeTextFiles(marker).first()[1]
-    _, source = _fs(spark, staging)
-    _, root = _fs(spark, path)
+    fs, root = _fs(spark, path)
     fs.mkdirs(root)
-    if fs.exists(source):
-        for status in fs.listStatus(source):
-            new = status.getPath()
-            if new.getName().startswith("date="):
-                old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, new.getName())
-                fs.delete(old, True)
-                if not fs.rename(new, old):
-                    raise OSError(f"{new} could not be moved into the table")
-        fs.delete(source, True)
-    fs.delete(p, False)
+    aside = _fs(spark, f"{staging}_replaced")[1]
+    fs.mkdirs(aside)
+    child = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in partitions_of(spark, staging):
+        new, place, old = child(_fs(spark, staging)[1], name), child(root, name), child(aside, name)
+        if fs.exists(place):
+            if fs.exists(old):
+                fs.delete(place, True)  # a move in that a store without atomic renames left half done
+            elif not fs.rename(place, old):
+                raise OSError(f"{place} could not be moved aside")
+        if not fs.rename(new, place):
+            raise OSError(f"{new} could not be moved into the table")
+    fs.delete(_fs(spark, _marker(path))[1], False)
+    fs.delete(aside.getParent(), True)
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
@@ -155,33 +182,50 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[st
     """Insert-or-update a Parquet table kept as date partitions.
 
     Only partitions the updates touch are read and rewritten (``ts`` is part of the key, so
-    a key never changes partition).  The updates are evaluated once, reduced to one row per key, and staged.  The merged
-    partitions are written beside the table; then a marker commits them; then they move in.  A failure before the marker
-    leaves the table as it was, one after it is finished by ``recover``, which every upsert and ``read_current`` run first.
-    One job at a time may update a table.
+    a key never changes partition); rows without a time have a partition of their own.  The updates are evaluated once,
+    reduced to one row per key, and staged.  The merged partitions are written beside the table; then a marker commits
+    them; then they move in.  A failure before the marker leaves the table as it was, one after it is finished by the
+    next upsert.  One job at a time may update a table: the caller sees to that, no lock is taken.
     """
     recover(spark, path)
+    fs, left = _fs(spark, f"{path.rstrip('/')}__staging_*")
+    for status in fs.globStatus(left) or []:
+        fs.delete(status.getPath(), True)  # of a writer that died before it committed
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
     dated = updates.withColumn("date", F.to_date(ts))
     newest_per_key(dated, [*keys, "date"], order or [c for c in updates.columns if c not in keys]).write.parquet(f"{staging}/updates")
     dated = spark.read.schema(dated.schema).parquet(f"{staging}/updates")
     merged = dated
-    if path_exists(spark, path):
+    if partitions_of(spark, path):
         target = spark.read.parquet(path)
-        touched = target.join(dated.select("date").distinct(), "date", "left_semi").select(*dated.columns)
+        days = dated.select(F.col("date").alias("_day")).distinct()
+        touched = target.join(days, F.col("date").eqNullSafe(F.col("_day")), "left_semi").select(*dated.columns)
         merged = merge_updates(touched, dated, [*keys, "date"], update_cols, order)
     merged.write.partitionBy("date").parquet(f"{staging}/merged")
-    _put_text(spark, _marker(path), f"{staging}/merged")
-    recover(spark, path)
-    fs, p = _fs(spark, staging)
-    fs.delete(p, True)
+    if partitions_of(spark, f"{staging}/merged"):
+        _put_text(spark, _marker(path), f"{staging}/merged")
+        recover(spark, path)
+    fs.delete(_fs(spark, staging)[1], True)
     return path
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The table as last committed, also after an interrupted upsert."""
-    recover(spark, path)
-    return spark.read.parquet(path)
+    """The table as last committed; reading changes nothing.
+
+    If a committed update has not moved in yet, its partitions are read from where they lie, and the others from the
+    table.  A reader that meets a partition on the move fails with a missing file and has to be run again.
+    """
+    staging = _committed(spark, path)
+    waiting = partitions_of(spark, staging) if staging else []
+    if not waiting:
+        return spark.read.parquet(path)
+    new = spark.read.parquet(staging)
+    stored = set(partitions_of(spark, path)) - set(waiting)
+    if not stored:
+        return new
+    replaced = [F.col("date").eqNullSafe(F.lit(partition_date(name)).cast("date")) for name in waiting]
+    rest = spark.read.parquet(path).where(~reduce(lambda a, b: a | b, replaced))
+    return rest.unionByName(new.withColumn("date", F.col("date").cast(rest.schema["date"].dataType)))
 
 
 def write_symbol_files(df: DataFrame, path: str, fmt: str = "csv") -> None:

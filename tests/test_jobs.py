@@ -53,7 +53,56 @@ def test_interrupted_upsert_is_finished_or_undone(spark, bars, tmp_path, monkeyp
     # One partition is already gone when the job dies; the marker still knows all.
     shutil.rmtree(sorted((tmp_path / "table").glob("date=*"))[0])
     assert ones() == (n, big)
-    assert ones() == (n, big) and not (tmp_path / "table__commit").exists()
+    # Reading changed nothing: the update is still waiting, and the next writer finishes it.
+    assert (tmp_path / "table__commit").exists() and list(tmp_path.glob("*staging*"))
+    writers.upsert(spark, path, changes.limit(1), keys)
+    assert ones() == (n, big) and not (tmp_path / "table__commit").exists() and not list(tmp_path.glob("*staging*"))
+
+
+def test_reader_between_the_moves_of_a_writer(spark, bars, tmp_path, monkeypatch):
+    """Read after every single step by which an update moves in: always the new table, and the update arrives whole."""
+    path, keys = str(tmp_path / "table"), ["symbol", "ts"]
+    first = bars.filter("symbol = 'MID' AND ts < TIMESTAMP '2024-01-04'")
+    writers.upsert(spark, path, first, keys)
+    changes = first.filter("ts < TIMESTAMP '2024-01-03'").withColumn("close", F.lit(1.0))
+    n, changed, seen, real = first.count(), changes.count(), [], writers._fs
+
+    class Spy:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, a, b):
+            done = self.fs.rename(a, b)
+            if (tmp_path / "table__commit").exists():
+                with monkeypatch.context() as m:
+                    m.setattr(writers, "_fs", real)
+                    got = writers.read_current(spark, path)
+                    seen.append((got.count(), got.filter("close = 1.0").count()))
+            return done
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_fs", lambda *x: (lambda fs, p: (Spy(fs), p))(*real(*x)))
+        writers.upsert(spark, path, changes, keys)
+    assert len(seen) > 4 and set(seen) == {(n, changed)}
+    got = spark.read.parquet(path)
+    assert (got.count(), got.filter("close = 1.0").count()) == (n, changed)
+
+
+def test_rows_without_a_time_survive_updates_and_retention(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [("a", None, 1.0), ("b", None, 2.0), (None, None, 3.0), ("c", pd.Timestamp("2020-01-01").to_pydatetime(), 4.0)]
+    table = spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
+    writers.upsert(spark, path, table, ["symbol", "ts"])
+    for _ in range(2):
+        writers.upsert(spark, path, table.filter("symbol = 'a' OR symbol IS NULL").withColumn("close", F.lit(9.0)), ["symbol", "ts"])
+    got = {r.symbol: r.close for r in writers.read_current(spark, path).collect()}
+    assert got == {"a": 9.0, "b": 2.0, None: 9.0, "c": 4.0} and writers.read_current(spark, path).count() == 4
+    writers.upsert(spark, path, table.limit(0), ["symbol", "ts"])
+    assert storage.drop_old_partitions(spark, path, date(2024, 2, 1), 7) == ["date=2020-01-01"]
+    assert writers.read_current(spark, path).count() == 3 and storage.drop_old_partitions(spark, str(tmp_path / "none"), date(2024, 2, 1), 7) == []
 
 
 def test_shared_folder_is_required():
