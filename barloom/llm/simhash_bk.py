@@ -9,9 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from barloom.llm._common import shuffle_partitions, ship, staged
+from barloom.llm._common import fresh, shuffle_partitions, ship, staged
 from barloom.llm._graph import components
 
 ship(__name__)
@@ -273,23 +273,189 @@ def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id.
+#: Near copies share at least SIMILAR of the distinct COPY_SHINGLE-word shingles of both.  Their fingerprints over those shingles differ
+#: in 10 bits on average at that likeness (standard deviation 3), those of unrelated texts in 32 (4).
+SIMILAR, COPY_SHINGLE, COPY_RADIUS = 0.8, 5, 22
+#: Shards of near copies: BANDS keys of ROWS minima each; texts of likeness SIMILAR have one in common 997 times in 1,000.
+BANDS, ROWS = 8, 3
+#: Texts of one tree at most when their shingles travel with them.
+COPY_NODES = 4_096
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
 
-    If that id occurs on several rows of the group, or all its ids are null, one of those rows stays (that with the smallest text).
+
+def shingle_hashes(data: bytes, shingle: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
+    words = data.lower().split()
+    size, hashed = min(shingle, len(words)), xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True) if words else ()
+    return np.unique(np.fromiter((hashed(joined[i:j], seed) for i, j in spans), dtype=np.uint64))
+
+
+def copy_sketch(hashes: np.ndarray) -> tuple[int, list[int]]:
+    """SimHash over the distinct shingles, and the shards of a text; both signed."""
+    if not len(hashes):
+        return 0, [0]
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    fp = np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
+    minima = np.array([(hashes * m).min() for m in _MULTIPLIERS], dtype=np.uint64).reshape(BANDS, ROWS)
+    shards = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        shards = (shards ^ minima[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        shards ^= shards >> np.uint64(29)
+    return int(fp.view(np.int64)[0]), shards.view(np.int64).tolist()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the distinct shingles of two texts that both have; 1 if neither has any."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [copy_sketch(shingle_hashes(t.as_py() or b"")) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["id", "key", "fp", "shards"],
+        )
+
+
+DEALT = StructType([StructField(c, LongType()) for c in ("shard", "i", "j", "side", "fp")] + [StructField("key", BinaryType()), StructField("hashes", BinaryType())])
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's row for every shard of it that other texts share, and there for every pair of trees with its own."""
+    for batch in batches:
+        for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            hashes = shingle_hashes(text.as_py() or b"")
+            fp, _ = copy_sketch(hashes)
+            packed, rows = np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes(), []
+            for place in places:
+                mine = int.from_bytes(key[:8], "little") % place["trees"]
+                rows += [(place["shard"], min(mine, other), max(mine, other), int(mine > other), fp) for other in range(place["trees"])]
+            for at in range(0, len(rows), 256):
+                part = rows[at : at + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(list(c), pa.int64()) for c in zip(*part, strict=True)), pa.array([key] * len(part), pa.binary()), pa.array([packed] * len(part), pa.binary())], names=DEALT.names,
+                )
+
+
+def copy_links(fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, radius: int, similar: float) -> list[tuple[int, int]]:
+    """Links (places) that hold together the texts of ``similar`` likeness or more: among all, or between sides 0 and 1.
+
+    The BK-tree over the fingerprints names candidates; each is compared by its shingles unless the two texts already hang together.
     """
-    found = staged(near_duplicates(docs, id_col, text, shingle, radius).withColumnRenamed(id_col, "id"), "simhash-groups")
-    ids = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id").eqNullSafe(F.col("component"))).alias("first")).where("first")
+    if side is None:
+        tree_at, query_at = np.arange(len(fps)), np.arange(len(fps))
+    else:
+        tree_at, query_at = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(tree_at) or not len(query_at):
+        return []
+    tree_at = tree_at[np.argsort(fps[tree_at], kind="stable")]
+    numbers, first, held = np.unique(fps[tree_at], return_index=True, return_counts=True)
+    tree, hung, links = BKTree(numbers), _Sets(len(fps)), []
+    for q, node in tree.within(fps[query_at], radius):
+        a, n = np.repeat(query_at[q], held[node]), held[node]  # every text that has the node's fingerprint
+        b = tree_at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[node], n)]
+        while True:
+            ra, rb = hung.roots(a), hung.roots(b)
+            apart = ra != rb
+            if not apart.any():
+                break
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            _, tried = np.unique(np.minimum(ra, rb) * len(fps) + np.maximum(ra, rb), return_index=True)  # one pair for two sets
+            alike = np.array([likeness(sets[x], sets[y]) >= similar for x, y in zip(a[tried].tolist(), b[tried].tolist(), strict=True)])
+            links += hung.link(a[tried[alike]], b[tried[alike]])
+            left = np.ones(len(a), dtype=bool)
+            left[tried] = False
+            a, b = a[left], b[left]
+    return links
+
+
+LINKED = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
+
+
+def _confirm(radius: int, similar: float):
+    """Rows come sorted by shard and pair of trees, two trees' worth at most."""
+    def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        if len(rows) < 2:
+            return []
+        fps = np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64)
+        side = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
+        found = copy_links(fps, [np.frombuffer(r[6], dtype=np.uint32) for r in rows], side, radius, similar)
+        return [(rows[a][5], rows[b][5]) for a, b in found if rows[a][5] != rows[b][5]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    out += links(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=LINKED.names)
+        out = links(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=LINKED.names)
+
+    return run
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, radius: int = COPY_RADIUS, tree_nodes: int = COPY_NODES,
+) -> DataFrame:
+    """(id, key, group): one row per document; ``key`` is the MD5 of its text, ``group`` one key of its group.
+
+    Equal texts are one text.  Texts that share a shard, which near copies do with very few exceptions (``BANDS``), meet there: a BK-tree over
+    the SimHash of their distinct five-word shingles names the candidates within ``radius`` bits, and the shingles themselves decide, so
+    every link stands for a likeness of ``similar`` or more.  Shards beyond ``tree_nodes`` texts are cut into trees that meet in pairs.
+    A text is shuffled once, reduced to one of its copies before that; its shingles go to the shards that another text shares, as 32-bit hashes.
+
+    Null, empty and blank texts have no shingles and are alike.  Repeated rows and ids, null ids too, stay rows; an empty table gives an empty
+    result; other columns are not read.
+    """
+    spark = docs.sparkSession
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    plain = docs.select(F.col(id_col).alias("id"), digest.alias("key"), F.col(text).cast("binary").alias("data"))
+    schema = StructType([plain.schema["id"], StructField("key", BinaryType()), StructField("fp", LongType()), StructField("shards", ArrayType(LongType()))])
+    rows = staged(plain.mapInArrow(_sketches, schema), "copy-sketches")
+    banded = rows.groupBy("key").agg(F.first("shards").alias("shards")).select("key", F.explode("shards").alias("shard"))
+    sizes = banded.groupBy("shard").count().where("count > 1").select("shard", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees"))
+    wanted = banded.join(sizes, "shard").groupBy("key").agg(F.collect_list(F.struct("shard", "trees")).alias("places"))
+    texts = plain.groupBy("key").agg(F.first("data").alias("data")).join(wanted, "key").select("key", "data", "places")
+    n = max(shuffle_partitions(spark), 1)
+    dealt = texts.mapInArrow(_deal, DEALT).repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    roots = components(dealt.mapInArrow(_confirm(radius, similar), LINKED), "a", "b")
+    grouped = rows.select("id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return grouped.select(F.col("id").alias(id_col), "key", F.coalesce("root", "key").alias("group"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the smallest id, null ids last.
+
+    If that id occurs on several rows of the group, the row with the smallest MD5 of its text stays, and of equal texts any one.
+    """
+    found = staged(near_copies(docs, id_col, text, **options).withColumnRenamed(id_col, "id"), "copy-groups")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")).select("best.id", "best.key")
+    count = found.groupBy("id", "key").count()
+    own_id, own_key = fresh(docs, "id", "key")
+    stays = best.join(count, best.id.eqNullSafe(count.id) & (best.key == count.key)).select(best.id.alias(own_id), best.key.alias(own_key), "count")
+    marked = docs.withColumn(own_key, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+    def of(some: DataFrame) -> DataFrame:
+        other = some.select(F.col(own_id).alias(f"{own_id}_"), F.col(own_key).alias(f"{own_key}_"))
+        return marked.join(other, marked[id_col].eqNullSafe(other[f"{own_id}_"]) & (marked[own_key] == other[f"{own_key}_"]), "left_semi")
+
     names = [F.col(f"`{c}`") for c in docs.columns]
-    once = docs.join(ids.where("n = 1").select(F.col("id").alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    several = docs.join(ids.where("n > 1").select(F.col("id").alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    # The few rows whose id repeats are told apart by fingerprint.
-    packed = several.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.struct(*names).alias("_row"))
-    marked = packed.mapInArrow(_fingerprints("_text", shingle, SEED, keep_text=True), StructType([*packed.schema.fields, StructField("fp", LongType())]))
-    first = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id", F.col("fp").alias("_fp"), "group").distinct()
-    picked = (
-        marked.join(first, F.col("_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("_fp")))
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("group", "id").orderBy("_text", F.xxhash64("_row"))))
-        .where("_nth = 1").select("_row.*")
-    )
-    return once.select(*names).union(picked)
+    several = of(stays.where("count > 1")).select(F.col(f"`{id_col}`").alias("id"), F.col(own_key).alias("key"), F.struct(*names).alias("row"))
+    picked = several.groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return of(stays.where("count = 1")).select(*names).unionByName(picked)
