@@ -62,9 +62,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def hash_share(id_col: str, wanted: int, total: int, seed: str):
-    """A condition that about ``wanted`` of ``total`` rows meet, chosen by a hash of their id; all if there are no more."""
-    share = min(1.0, wanted / total) if total else 1.0
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30))

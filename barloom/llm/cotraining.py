@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm._common import ship, staged
+from barloom.llm._common import fresh, ship, staged
 
 ship(__name__)
 
@@ -97,14 +97,16 @@ def cotrain(
     """Fit two views on rows whose label is 0, 1 or missing (negative).
 
     Every round both views are fitted and calibrated on the held-out labelled rows.  Each gives the other those rows of the
-    pool of which it is confident, the surest first and at most a ``growth`` share of the pool in a round, as labels.
+    pool that the other does not have yet and of which it is confident, the surest of each class first, as labels: at most a
+    ``growth`` share of the pool in a round, divided between the classes as among the labelled rows.
     At the end the calibrated margins are weighed by a regression on the held-out rows.
     """
     known = np.flatnonzero(y >= 0)
     held, train, pool = known[::FOLD], np.setdiff1d(known, known[::FOLD]), np.flatnonzero(y < 0)
     if not len({*y[train].tolist()}) == 2 or not len({*y[held].tolist()}) == 2:
         return {}
-    given = [dict.fromkeys((), 0) for _ in views]  # pseudo-labels that each view was given
+    given: list[dict[int, int]] = [{} for _ in views]  # pseudo-labels that each view was given
+    grown = [[0, 0]]
     for turn in range(rounds + 1):
         weights, scales = [], []
         for x, own in zip(views, given, strict=True):
@@ -116,14 +118,16 @@ def cotrain(
         if turn == rounds or not len(pool):
             break
         for k, (x, w, s) in enumerate(zip(views, weights, scales, strict=True)):
-            p = sigmoid(margin(margin(x[pool], w)[:, None], s))
-            sure = np.flatnonzero(np.maximum(p, 1 - p) >= confident)
-            best = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: max(1, int(growth * len(pool)))]
             other = given[1 - k]
-            for i in best.tolist():
-                other.setdefault(int(pool[i]), int(p[i] >= 0.5))
+            new = pool[~np.isin(pool, np.fromiter(other, dtype=np.int64, count=len(other)))]
+            p = sigmoid(margin(margin(x[new], w)[:, None], s))
+            for kind, prior in enumerate((1 - y[train].mean(), y[train].mean())):
+                sure = np.flatnonzero((p if kind else 1 - p) >= confident)
+                best = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: max(1, round(growth * len(pool) * prior))]
+                other.update(dict.fromkeys(new[best].tolist(), kind))
+        grown.append([len(g) for g in given])
     margins = np.stack([margin(margin(x[held], w)[:, None], s) for x, w, s in zip(views, weights, scales, strict=True)], axis=1)
-    return {"text": weights[0], "meta": weights[1], "text_scale": scales[0], "meta_scale": scales[1], "both": logistic(margins, y[held], 0.1), "given": np.array([len(g) for g in given], dtype=np.float64)}
+    return {"text": weights[0], "meta": weights[1], "text_scale": scales[0], "meta_scale": scales[1], "both": logistic(margins, y[held], 0.1), "given": np.array(grown, dtype=np.float64).T.ravel()}
 
 
 def score(model: dict[str, np.ndarray], text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,17 +178,19 @@ def _copies(share: Column, seed: str) -> Column:
     return (F.floor(wanted) + (drawn < wanted - F.floor(wanted)).cast("long")).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, pool: int) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, pool: int, meta: Sequence[str] = META, contradicting=F.min) -> DataFrame:
     """(doc_id, _label, text, metadata) of about ``labelled`` rows of documents with a label and ``pool`` rows without, all if there are no more.
 
-    Both shares are of rows of ``docs``, and they are drawn apart.  Rows are told apart by id and content, so those that share an id, or have none, are drawn
-    one by one; of equal rows the share of their number is taken.  Contents are read once for a narrow table of their hashes, and only the rows drawn are dealt.
+    Both shares are of rows of ``docs``, and they are drawn apart; labels of unknown documents count for nothing.  Rows are told apart by id and content,
+    so those that share an id, or have none, are drawn one by one; of equal rows the share of their number is taken.  ``contradicting`` picks one of
+    several labels of an id.  Contents are read once for a narrow table of their hashes, and only the rows drawn are dealt.
     """
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("_label"))
-    key = F.xxhash64(F.concat_ws(",", *[F.col(c).isNull() for c in META]), "text", *META)
+    docs = docs.select("doc_id", "text", *meta)
+    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(contradicting(label).cast("int").alias("_label"))
+    key = F.xxhash64(F.concat_ws(",", *[F.col(c).isNull() for c in meta]), "text", *meta)
     groups = docs.groupBy("doc_id", key.alias("_key")).count()
     known = groups.where(F.col("doc_id").isNotNull()).join(marks, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "_key", "count", "_label")
-    groups = staged(known.union(groups.where(F.col("doc_id").isNull()).select("doc_id", "_key", "count", F.lit(None).cast("int"))), "cotraining-rows")
+    groups = staged(known.union(groups.where(F.col("doc_id").isNull()).select("doc_id", "_key", "count", F.lit(None).cast("int"))), "sample-rows")
     n = groups.groupBy(F.col("_label").isNotNull().alias("labelled")).agg(F.sum("count").alias("n")).collect()
     n = {r.labelled: r.n for r in n}
     shares = [F.lit(min(1.0, wanted / n[of]) if n.get(of) else 1.0) for of, wanted in ((True, labelled), (False, pool))]
@@ -192,8 +198,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, pool:
     # About labelled + pool narrow rows at most, which also bound what the fit holds in one task, so they are broadcast.
     drawn = groups.withColumn("_copies", copies).where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_label", "_copies")
     found = docs.withColumn("_key", key).join(F.broadcast(drawn), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    once = found.select("doc_id", "_key", "_label", "_copies", "text", *META).dropDuplicates(["doc_id", "_key"])
-    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc_id", "_label", "text", *META)
+    once = found.select("doc_id", "_key", "_label", "_copies", "text", *meta).dropDuplicates(["doc_id", "_key"])
+    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc_id", "_label", "text", *meta)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL, **options) -> dict[str, np.ndarray]:
@@ -211,11 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
 SCORES = ("cq_text", "cq_meta", "cq_score")
 
 
-def _score(broadcast, keep: Sequence[str]):
+def _score(broadcast, read: Sequence[str], keep: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("_text", *(f"_{c}" for c in META))]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in read]
             texts, *meta = (c.to_pylist() for c in columns)
             views = [np.stack(v) if v else np.zeros((0, 1)) for v in ([text_view(t or b"") for t in texts], [meta_view(m) for m in zip(*meta, strict=True)])]
             found = score(model, *views) if texts else [np.zeros(0)] * 3
@@ -227,9 +233,10 @@ def _score(broadcast, keep: Sequence[str]):
 def score_all(docs: DataFrame, model: dict[str, np.ndarray], keep: Sequence[str] | None = None) -> DataFrame:
     """``keep`` columns of every document (all by default) with cq_text, cq_meta and cq_score, the probabilities of good quality."""
     keep = [c for c in (keep or docs.columns) if c not in SCORES]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("_text"), *[F.col(c).alias(f"_{c}") for c in META])
+    read = fresh(docs, "cq_bytes", *(f"cq_{c}" for c in META))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(c).cast("binary" if c == "text" else docs.schema[c].dataType).alias(name) for c, name in zip(("text", *META), read, strict=True)])
     schema = T.StructType([*rows.schema.fields[: len(keep)], *[T.StructField(c, T.DoubleType()) for c in SCORES]])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), keep), schema)
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), read, keep), schema)
 
 
 #: Documents below this probability of good quality are rejected.

@@ -203,6 +203,8 @@ def search(
     texts = docs.select(F.col(id_col).cast("long"), F.col(text).cast("binary"))
     for part in range(parts):
         own = postings.where(F.pmod(F.xxhash64("no"), F.lit(parts)) == part).toPandas()
+        if own.empty:  # no items, or none dealt here
+            continue
         terms = sorted(set(own.term.map(bytes)))
         place = {t: k for k, t in enumerate(terms)}
         counted = staged(texts.mapInArrow(_count(spark.sparkContext.broadcast(terms)), COUNTED), "search-counts")

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import shared_dir
+from barloom.llm._common import fresh, shared_dir, staged
 
 #: Matches whose starts are added up one by one; the sums of whole steps are added up before.
 STEP = 128
@@ -85,8 +85,10 @@ def _read(spark, ledger: str) -> DataFrame:
     schema = f"blob string, rule string, spans {SPANS}"
     try:
         return spark.read.schema(schema).parquet(ledger)
-    except AnalysisException:  # no ledger yet
-        return spark.createDataFrame([], schema)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # no ledger yet
 
 
 def scan(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -94,23 +96,27 @@ def scan(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "te
 
     A blob is the SHA-256 of a text, whatever paths and versions hold it.  Of the pairs (blob, rule version) only those
     are scanned that the ledger lacks, each once, on one row of the blob; the result is appended to the ledger, an
-    empty list too.  The narrow pairs are grouped and joined; a text is moved once at most, and copies are dealt by
-    path as well, so a blob with a third of all rows is no hot key.  A run that fails appends nothing.
+    empty list too.  Equal rows are reduced to one before the shuffle; a text is moved once at most, and copies are dealt by
+    path as well, so a blob with a third of all rows is no hot key.  A run that fails appends nothing.  Two runs that
+    meet may both store a pair: it is read once.
     """
     spark = versions.sparkSession
-    rows = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hashed = rows.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
+    place = F.coalesce(F.concat(F.lit("="), F.col(path).cast("string")), F.lit("")).alias("place")
+    rows = versions.select(place, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    hashed = rows.select("place", "text", F.sha2(F.col("text").cast("binary"), 256).alias("blob"))
     names = [r.version for r in rules]
-    blobs = hashed.groupBy("blob").agg(F.min("path").alias("path"))
-    wanted = blobs.select("blob", "path", F.explode(F.array(*map(F.lit, names))).alias("rule"))
-    missing = wanted.join(_read(spark, ledger), ["blob", "rule"], "left_anti").groupBy("blob").agg(F.min("path").alias("one"), F.collect_set("rule").alias("rules"))
-    todo = hashed.alias("h").join(missing.alias("m"), (F.col("h.blob") == F.col("m.blob")) & F.col("path").eqNullSafe(F.col("one"))).select("h.blob", "text", "rules")
+    blobs = staged(hashed.groupBy("blob").agg(F.min("place").alias("place")), "secret-blobs")
+    wanted = blobs.select("blob", "place", F.explode(F.array(*map(F.lit, names))).alias("rule"))
+    missing = wanted.join(_read(spark, ledger), ["blob", "rule"], "left_anti").groupBy("blob", "place").agg(F.collect_set("rule").alias("rules"))
+    once = hashed.groupBy("blob", "place").agg(F.first("text").alias("text"))
+    todo = once.join(missing, ["blob", "place"]).select("blob", "text", "rules")
     found = todo.select("blob", F.explode(F.filter(F.array(*[
         F.struct(F.lit(r.version).alias("rule"), F.when(F.array_contains("rules", r.version), spans_of(F.col("text"), r, k)).alias("spans")) for k, r in enumerate(rules)
     ]), lambda x: x["spans"].isNotNull())).alias("x")).select("blob", "x.rule", "x.spans")
-    found.dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)  # rows that repeat path and text are one blob
-    own = _read(spark, ledger).where(F.col("rule").isin(names))
-    return own.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found.write.mode("append").parquet(ledger)
+    own = _read(spark, ledger).where(F.col("rule").isin(names)).join(blobs, "blob", "left_semi")
+    pairs = F.collect_set(F.struct("rule", "spans"))  # equal pairs have equal spans
+    return own.groupBy("blob").agg(F.array_sort(F.flatten(F.transform(pairs, lambda p: p["spans"]))).alias("spans"))
 
 
 def findings(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -140,11 +146,12 @@ def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
 def redact(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", count: str | None = "n_chars", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; a text without any, null too, stays as it is.  ``count``: its length column."""
     ledger = ledger or shared_dir(docs.sparkSession, "secret-ledger")
-    spans = scan(docs, ledger, path, text, rules).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    same = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256) == F.col("_blob")
-    joined = docs.join(spans, same, "left").withColumn("_new", F.when(F.col("_spans").isNotNull(), redacted(F.col(text), F.col("_spans"))))
-    new = {text: F.col("_new"), count: F.length("_new")}
-    return joined.select(*[F.when(F.col("_new").isNull(), F.col(f"`{c}`")).otherwise(new[c].cast(kind)).alias(c) if c in new else F.col(f"`{c}`") for c, kind in docs.dtypes])
+    own_blob, own_spans, new_text = fresh(docs, "blob", "spans", "new")
+    spans = scan(docs, ledger, path, text, rules).where(F.size("spans") > 0).select(F.col("blob").alias(own_blob), F.col("spans").alias(own_spans))
+    same = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256) == F.col(own_blob)
+    joined = docs.join(spans, same, "left").withColumn(new_text, F.when(F.col(own_spans).isNotNull(), redacted(F.col(text), F.col(own_spans))))
+    new = {text: F.col(new_text), count: F.length(new_text)}
+    return joined.select(*[F.when(F.col(new_text).isNull(), F.col(f"`{c}`")).otherwise(new[c].cast(kind)).alias(c) if c in new else F.col(f"`{c}`") for c, kind in docs.dtypes])
 
 
 def report(docs: DataFrame, ledger: str | None = None) -> DataFrame:

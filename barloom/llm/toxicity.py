@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm._common import hash_share, ship
+from barloom.llm._common import ship
+from barloom.llm.cotraining import sample
 from barloom.llm.decontamination import words_of
 
 ship(__name__)
 
-#: Labelled documents that the model is fitted on at most (about; chosen by hash of the id).
+#: Labelled documents that the model is fitted on at most (about; rows of documents, drawn by hash).
 LABELLED = 12_000
 #: Hash bins of the features, and how many of them the model keeps.
 BINS, KEPT = 1 << 22, 8_192
@@ -153,10 +154,9 @@ def _fit(kept: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED, kept: int = KEPT) -> dict[str, np.ndarray]:
-    """The model, fitted on about ``labelled`` labelled documents: only their feature rows meet in one task."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    share = hash_share("doc_id", labelled, marks.count(), "toxic")
-    rows = docs.where(share).join(marks, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "_label", F.col("text").cast("binary"))
+    """The model, fitted on about ``labelled`` rows of labelled documents: only their feature rows meet in one task."""
+    drawn = sample(docs, labels, label, labelled, 0, (), F.max)
+    rows = drawn.where(F.col("_label").isNotNull()).select(F.col("doc_id").cast("long"), "_label", F.col("text").cast("binary"))
     model = rows.mapInArrow(_features, ROW).repartition(1).mapInArrow(_fit(kept), "name string, weights array<double>").collect()
     return {r.name: np.array(r.weights) for r in model}
 

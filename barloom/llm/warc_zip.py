@@ -204,8 +204,8 @@ def write_packages(
     """Write one record per row into ZIP packages below ``folder``; give the manifest (package, records).
 
     Rows with equal payloads of ``least_bytes`` or more are one response, that with the smallest id, and revisits of it.
-    Digests are grouped as narrow rows, reduced before the shuffle; payloads move once, dealt and sorted by
-    id, so a payload that a third of the pages share is no hot key.  A task that runs again writes the same names anew.
+    Digests are grouped as narrow rows, reduced before the shuffle; payloads move once, dealt by id and
+    digest and sorted, so neither a payload that a third of the pages share nor rows without an id are a hot key.  A task that runs again writes the same names anew.
 
     A null payload is empty; a null id is the empty name and never the smallest beside another id; rows that repeat the smallest
     id and its payload are all responses; a null url has no field; an empty table gives no package; other columns are not read.
@@ -217,10 +217,9 @@ def write_packages(
     ).withColumn("key", F.coalesce("id", F.lit(NO_ID)))
     digests = rows.select("id", "key", F.sha1("html").alias("digest"), F.length("html").alias("size"))
     firsts = digests.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = digests.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("again"))
-    # The join itself deals the payloads by id, unless the revisits are few enough to be sent to where the payloads are.
-    own = F.get(F.filter("again", lambda a: a["digest"] == F.col("digest")), F.lit(0))["first"]
-    marked = rows.withColumn("digest", F.sha1("html")).join(again, "key", "left").select("id", "url", "html", "digest", own.alias("refers_to"))
+    again = digests.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("key", "digest", F.col("first").alias("refers_to")).distinct()
+    # The join itself deals the payloads by id and digest, unless the revisits are few enough to be sent to where the payloads are.
+    marked = rows.withColumn("digest", F.sha1("html")).join(again, ["key", "digest"], "left").select("id", "url", "html", "digest", "refers_to")
     return staged(marked.sortWithinPartitions("id", "digest", "url").mapInArrow(_write(folder, package_bytes), "package string, records long"), "warc-manifest")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +19,28 @@ ship(__name__)
 #: Characters of a gram and grams of a window: any two texts that share WINDOW + GRAM - 1 characters share a selected hash.
 GRAM, WINDOW = 20, 32
 BASE = 0x9E3779B97F4A7C15
+#: Characters of a text by which rows with the same id are dealt.
+HEAD = 64
 #: Grams handled at once; longer texts go in blocks that overlap by a window.
 BLOCK = 1 << 20
 
 
-@lru_cache(maxsize=2)
+#: Kept per worker; a plain dict, as it travels with the functions that executors get by value.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    if n in _POWERS:
+        return _POWERS[n]
+
     def powers(base: int) -> np.ndarray:
         factors = np.full(n, base, dtype=np.uint64)
         factors[0] = 1
         return np.cumprod(factors, dtype=np.uint64)
 
-    return powers(BASE), powers(pow(BASE, -1, 1 << 64))
+    _POWERS[n] = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+    return _POWERS[n]
 
 
 def rolling(codes: np.ndarray, k: int) -> np.ndarray:
@@ -135,7 +144,7 @@ PAIR = T.StructType([
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
 ])
 #: Rows of the ordered pass: results, and the first and last document of every part, which wait for the neighbouring part.
-STEP = T.StructType([*PAIR.fields, T.StructField("kind", T.IntegerType()), T.StructField("text", T.StringType())])
+STEP = T.StructType([*PAIR.fields, T.StructField("kind", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("part", T.IntegerType())])
 DONE, FIRST, LAST = 0, 1, 2
 
 
@@ -157,19 +166,19 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 def _in_order(gram: int, window: int):
     """Documents of one part in order: each meets the next; only the first and the last text leave the part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, part = None, TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = winnow(text, gram, window)
                 if held is None:
-                    rows.append((doc_id, *[None] * 6, FIRST, text))
+                    rows.append((doc_id, *[None] * 6, FIRST, text, part))
                 else:
-                    rows.append((*_pair(*held, text, found, gram, window), DONE, None))
+                    rows.append((*_pair(*held, text, found, gram, window), DONE, None, part))
                 held = (doc_id, text, found)
             yield _batch(rows, STEP)
         if held is not None:
-            yield _batch([(held[0], *[None] * 6, LAST, held[1])], STEP)
+            yield _batch([(held[0], *[None] * 6, LAST, held[1], part)], STEP)
 
     return run
 
@@ -185,23 +194,20 @@ def _across(gram: int, window: int):
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half replaced by the head of the next document's.
 
-    Texts move once, dealt by ranges of the id and sorted there, so almost every document meets the next in its own task.
-    The first and last text of each part are staged with the results and paired across parts.
+    Texts move once, dealt by ranges of the id and the head of the text and sorted there, so almost every document meets the next in
+    its own task.  The first and last text of each part are staged with the results and joined by the numbers of their parts.
 
     Null and empty texts have no selected grams (likeness 1 to each other, else 0).  Repeated ids are ordered by text; null ids come first;
     a single document follows itself; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    parts = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("id"), F.substring("text", 1, HEAD)).sortWithinPartitions("id", "text")
     steps = staged(parts.mapInArrow(_in_order(gram, window), STEP), "winnow-steps")
-    # One first and one last document for each part: as many rows as parts.
-    ends = steps.where(F.col("kind") != DONE).select("doc_id", "text", "kind", F.struct(F.col("doc_id").isNotNull(), "doc_id", "text").alias("place"))
-    order = Window.orderBy("place", "kind")
-    nexts = F.first(F.when(F.col("kind") == FIRST, F.struct("text")), ignorenulls=True)
-    first_of_all = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    paired = (
-        ends.withColumn("following", F.coalesce(nexts.over(order.rowsBetween(1, Window.unboundedFollowing))["text"], first_of_all))
-        .where(F.col("kind") == LAST).select(F.col("doc_id"), "text", "following")
-    )
+    # Which part follows which is a matter of their numbers only; as many rows as parts.
+    numbers = steps.where(F.col("kind") == FIRST).select("part")
+    following = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))
+    firsts = steps.where(F.col("kind") == FIRST).select(F.col("part").alias("next"), F.col("text").alias("following"))
+    lasts = steps.where(F.col("kind") == LAST).select("doc_id", "text", "part")
+    paired = lasts.join(following, "part").join(firsts, "next").select("doc_id", "text", "following")
     done = steps.where(F.col("kind") == DONE).select(*PAIR.names)
     return done.union(paired.repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_across(gram, window), PAIR)).withColumnRenamed("doc_id", id_col)

@@ -6,8 +6,9 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from barloom.llm import cotraining, queries, toxicity
+from barloom.llm import cotraining, queries, secret_ledger, simhash_bk, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,7 +49,9 @@ def test_views_teach_each_other():
     text = np.stack([strong, fresh], axis=1)
     y = np.where(known, truth, -1)
     model = cotraining.cotrain([text, meta], y)
-    assert model["given"][0] > 100 and model["text"][1] > 1.0
+    given = model["given"].reshape(2, -1)
+    assert given[0, -1] > 100 and model["text"][1] > 1.0
+    assert (np.diff(given[0]) > 0).all() and np.diff(given[0]).sum() > 0.5 * (y < 0).sum()  # every round gives rows that no round gave before
     assert np.mean((cotraining.score(model, text, meta)[2] >= 0.5) == truth) > 0.99
     alone = cotraining.cotrain([text, meta], y, rounds=0)
     assert alone["text"][1] == pytest.approx(0, abs=1e-6)
@@ -97,12 +100,30 @@ def test_fits_do_not_depend_on_the_order_of_rows(tables):
         assert a.keys() == b.keys() and all((a[k] == b[k]).all() for k in a)
 
 
-def test_sample_is_bounded(spark):
-    ids = spark.range(50_000).withColumnRenamed("id", "doc_id")
-    from barloom.llm._common import hash_share
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Many rows under one labelled id, and labels of documents that are not there."""
+    monkeypatch.setattr(toxicity, "_fit", _count_rows)
+    docs = spark.range(4_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(100_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    near = lambda got, want: 0.75 * want < got < 1.25 * want
+    assert near(toxicity.fit(docs, labels, labelled=400)["rows"][0], 400)
+    for content in ("id", "1"):
+        odd = docs.union(spark.range(5_000).selectExpr("7L", f"concat('text ', {content})"))
+        assert near(toxicity.fit(odd, labels, labelled=400)["rows"][0], 400)
+
 
-    assert 800 < ids.where(hash_share("doc_id", 1000, 50_000, "x")).count() < 1200
-    assert ids.where(hash_share("doc_id", 60_000, 50_000, "x")).count() == 50_000
+def test_clashing_names(tables):
+    """Columns named like the helpers of the operators are carried along untouched."""
+    docs, labels = tables
+    names = ("_id", "_text", "_spans", "_blob", "_label", "_key", "id", "blob", "spans", "new", "key", "cq_bytes", "cq_text", "cq_lang", "_copies", "_k")
+    some, marks = docs.where("doc_id < 200"), labels.withColumns({n: F.lit(1) for n in ("_id", "_label", "n")})
+    odd = some.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    assert {tuple(r) for r in toxicity.severity(odd, marks).collect()} == {tuple(r) for r in toxicity.severity(some, labels).collect()}
+    for step in (lambda d: cotraining.reject_low_quality(d, marks), simhash_bk.keep_one, secret_ledger.redact):
+        got, want = step(odd), step(some)
+        assert got.columns == odd.columns
+        assert {tuple(r[: len(some.columns)]) for r in got.collect()} == {tuple(r) for r in want.collect()}
+        assert got.where(" OR ".join(f"{n} <> {k}" for k, n in enumerate(names) if n != "cq_text")).count() == 0
 
 
 def test_queries_cover_all_documents(spark):

@@ -67,6 +67,16 @@ def test_ledger_scans_unseen_pairs_only(spark, docs_of, tmp_path):
     assert [r["count"] for r in rows()] == [3, 3, 3, 3] and again.where(F.exists("spans", lambda s: s["kind"] == "hex")).count() == 0
 
 
+def test_ledger_pairs_stored_twice_count_once(spark, docs_of, tmp_path):
+    """Two writers that met left every pair twice; blobs that are no longer there are not read back."""
+    ledger, docs = f"file://{tmp_path}/ledger", docs_of(SECRETS)
+    want = sorted(map(str, secret_ledger.report(docs, ledger).collect()))
+    spark.read.parquet(ledger).write.parquet(f"{ledger}-copy")
+    spark.read.parquet(f"{ledger}-copy").write.mode("append").parquet(ledger)
+    assert sorted(map(str, secret_ledger.report(docs, ledger).collect())) == want
+    assert secret_ledger.scan(docs_of(SECRETS[:1]), ledger).count() == 1
+
+
 def plain_winnow(text, gram, window):
     codes = [ord(c) for c in text]
     k = max(1, min(gram, len(codes)))
