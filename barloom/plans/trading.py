@@ -9,7 +9,7 @@ from barloom.operators import lookup as lk
 from barloom.operators import metrics as mt
 from barloom.operators import models as md
 from barloom.operators import ordered as o
-from barloom.operators import prep
+from barloom.operators import prep, ridge
 from barloom.operators import signals as sg
 from barloom.operators import strategies as st
 from barloom.plans import shapes
@@ -65,6 +65,38 @@ add("m02_train_one_feature", lambda s, d: _one_feature(s, d)[1], ("symbol", "tra
        FROM td JOIN fit USING (symbol) GROUP BY 1""", (v.BARS, ONE, FIT))
 
 
+# A grid of penalties: the error of each on each fold left out, and the model chosen.
+PENALTIES = (0.0, 1.0, 10.0, 100.0, 1_000.0)
+
+
+def folded(s, d):
+    """Training rows in runs of time; the last fifth of a series has no fold and is the test part."""
+    made = ridge.chrono_folds(a.bars_hourly(s, d).withColumn("volume", F.col("volume").cast("double")))
+    made = ind.rsi(ind.sma(prep.next_target(made), (5,)))
+    return staged(made.dropna(subset=["target", *FEATURES]), "folds")
+
+
+FOLDED = f"""pos AS (SELECT symbol, ts, close, lead(close) OVER {v.over()} AS target, row_number() OVER {v.over()} AS i, floor(count(*) OVER (PARTITION BY symbol) * 0.8::DOUBLE) AS n FROM bars),
+  fd AS (SELECT symbol, ts, close, target, CASE WHEN i <= n THEN floor((i - 1) * 5 / n)::INT END AS fold FROM pos WHERE target IS NOT NULL),
+  lo AS (SELECT symbol, k.fold, count(*) AS n, avg(close) AS m, stddev_pop(close) AS s, avg(target) AS y, covar_pop(target, close) AS c
+         FROM fd JOIN (SELECT unnest(range(5))::INT AS fold) AS k ON fd.fold <> k.fold GROUP BY 1, 2),
+  al AS (SELECT symbol, count(*) AS n, avg(close) AS m, stddev_pop(close) AS s, avg(target) AS y, covar_pop(target, close) AS c FROM fd WHERE fold IS NOT NULL GROUP BY 1),
+  pen AS (SELECT unnest([{", ".join(map(repr, PENALTIES))}])::DOUBLE AS ridge),
+  se AS (SELECT symbol, fold, ridge, count(*) AS rows, sum((target - lo.y - c / s * lo.n / (lo.n + ridge) * (close - m) / s) ** 2) AS squared_error
+         FROM fd JOIN lo USING (symbol, fold) CROSS JOIN pen GROUP BY 1, 2, 3)"""
+add("m02_ridge_grid", lambda s, d: ridge.grid_errors(ridge.ridge_path(folded(s, d), ("close",), grid=PENALTIES), PENALTIES),
+    ("symbol", "fold", "ridge", "rows"), ("squared_error",), "SELECT * FROM se", (v.BARS, FOLDED), digits=4)
+add("m02_ridge_choice", lambda s, d: ridge.train_grid(folded(s, d), ("close",), grid=PENALTIES)[1],
+    ("symbol", "ridge", "train_rows", "test_rows", "n_features"), ("validation_mse", "train_mae", "test_mae"),
+    """SELECT symbol, ridge, count(*) FILTER (fold IS NOT NULL) AS train_rows, count(*) FILTER (fold IS NULL) AS test_rows, 1::BIGINT AS n_features, any_value(mse) AS validation_mse,
+       avg(abs(target - y - c / s * n / (n + ridge) * (close - m) / s)) FILTER (fold IS NOT NULL) AS train_mae,
+       avg(abs(target - y - c / s * n / (n + ridge) * (close - m) / s)) FILTER (fold IS NULL) AS test_mae
+       FROM fd JOIN al USING (symbol) JOIN (SELECT symbol, ridge, sum(squared_error) / sum(rows) AS mse FROM se GROUP BY 1, 2
+            QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY mse, ridge) = 1) USING (symbol) GROUP BY symbol, ridge""", (v.BARS, FOLDED), digits=5)
+add("m02_grid_all_features", lambda s, d: ridge.train_grid(folded(s, d), FEATURES, grid=PENALTIES)[1],
+    ("symbol", "ridge", "train_rows", "test_rows", "n_features"), ("validation_mse", "train_mae", "test_mae"))
+
+
 def _predicted(s, d):
     models, _ = _one_feature(s, d)
     return md.predict_per_symbol(training_data(s, d), models, ("close",))
