@@ -131,7 +131,8 @@ def forecast_ar(series: DataFrame, steps: int = 5, p: int = 5, d: int = 1, value
                 z: float = 1.96, by="symbol", ts="ts", **ordering) -> DataFrame:
     """Autoregression on the d-times differenced series (d is 0 or 1), ``steps`` rows ahead.
 
-    Returns (symbol, step, forecast, lower_bound, upper_bound).
+    Returns (symbol, step, forecast, lower_bound, upper_bound).  The bounds add up the effects that all shocks on the way
+    have on the level, by the recursion of the psi weights.
     """
     if d not in (0, 1):
         raise ValueError("d must be 0 or 1")
@@ -156,35 +157,40 @@ def _ends(lagged, depth, by, ts, value):
 def _roll_forward(df, steps, p, d, season, z, by):
     b = F.col("coefficients")
 
+    lags = [(k, b[k]) for k in range(1, p + 1)] + ([(season, b[p + 1])] if season and season > p else [])
+    depth = max(p, season or 0)
+
     def step(state, _):
-        y = b[0]
-        for k in range(1, p + 1):
-            y = y + b[k] * state["recent"][k - 1]
-        if season and season > p:
-            y = y + b[p + 1] * state["recent"][season - 1]
+        y, psi = b[0], F.lit(0.0)
+        for k, c in lags:
+            y = y + c * state["recent"][k - 1]
+            psi = psi + c * F.coalesce(F.get(state["psi"], F.lit(k - 1)), F.lit(0.0))
+        psi = F.when(F.size(state["path"]) == 0, 1.0).otherwise(psi)
         level = state["level"] + y if d == 1 else y
-        depth = max(p, season or 0)
+        # A shock moves the level by its weight if there is no differencing, by the sum of the weights so far if there is.
+        moved = state["moved"] + psi if d == 1 else psi
+        spread = state["spread"] + moved * moved
         return F.struct(
-            F.slice(F.concat(F.array(y), state["recent"]), 1, depth).alias("recent"),
-            level.alias("level"),
-            F.concat(state["path"], F.array(level)).alias("path"),
+            F.slice(F.concat(F.array(y), state["recent"]), 1, depth).alias("recent"), level.alias("level"),
+            F.slice(F.concat(F.array(psi), state["psi"]), 1, depth).alias("psi"), moved.alias("moved"), spread.alias("spread"),
+            F.concat(state["path"], F.array(F.struct(level.alias("level"), F.sqrt(spread).alias("width")))).alias("path"),
         )
 
     start = F.struct(
-        F.col("_recent").alias("recent"), F.col("_level").alias("level"), F.array().cast("array<double>").alias("path")
+        F.col("_recent").alias("recent"), F.col("_level").alias("level"), F.array().cast("array<double>").alias("psi"), F.lit(0.0).alias("moved"),
+        F.lit(0.0).alias("spread"), F.array().cast("array<struct<level:double,width:double>>").alias("path"),
     )
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["path"])
     fit = F.aggregate(F.zip_with("coefficients", "_xy", lambda c, v: c * v), F.lit(0.0), lambda a, v: a + v)
-    spread = F.sqrt(F.greatest((F.col("_yy") - fit) / F.col("_n"), F.lit(0.0)))
-    out = df.withColumn("_sigma", spread).select(by, "_sigma", F.posexplode(path).alias("_i", "forecast"))
-    # Without differencing the error of one step is the bound; with it, errors add up.
-    width = F.col("_sigma") * z * (F.sqrt(F.col("_i") + 1.0) if d == 1 else F.lit(1.0))
+    sigma = F.sqrt(F.greatest((F.col("_yy") - fit) / F.col("_n"), F.lit(0.0)))
+    out = df.withColumn("_sigma", sigma).select(by, "_sigma", F.posexplode(path).alias("_i", "_p"))
+    width = F.col("_sigma") * z * F.col("_p.width")
     return out.select(
         by,
         (F.col("_i") + 1).cast("bigint").alias("step"),
-        "forecast",
-        (F.col("forecast") - width).alias("lower_bound"),
-        (F.col("forecast") + width).alias("upper_bound"),
+        F.col("_p.level").alias("forecast"),
+        (F.col("_p.level") - width).alias("lower_bound"),
+        (F.col("_p.level") + width).alias("upper_bound"),
     )
 
 

@@ -57,5 +57,5 @@ def add(
     QUERIES[name] = run
     if sql is not None:
         head = "WITH " + ",\n".join(ctes) + "\n" if ctes else ""
-        columns = ", ".join([*exact, *[_rounded_sql(c, digits) for c in rounded]])
+        columns = ", ".join([*(f'"{c}"' for c in exact), *[_rounded_sql(c, digits) for c in rounded]])
         ORACLES[name] = f"{head}SELECT {columns} FROM ({sql}) AS result"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import arma
 from barloom.operators import indicators as ind
 from barloom.operators import lookup as lk
 from barloom.operators import metrics as mt
@@ -13,6 +14,7 @@ from barloom.operators import prep, ridge
 from barloom.operators import signals as sg
 from barloom.operators import strategies as st
 from barloom.plans import shapes
+from barloom.plans import sql_fits as fits
 from barloom.plans import sql_views as v
 from barloom.plans.registry import AS_OF, add
 from barloom.sources import adapters as a
@@ -46,8 +48,8 @@ def trained(s, d, fit_on="train"):
     return md.train_per_symbol(training_data(s, d), FEATURES, fit_on=fit_on)
 
 
-add("m02_train_per_symbol", lambda s, d: trained(s, d)[1], ("symbol", "train_rows", "test_rows", "n_features"), ("train_mae", "test_mae"))
-add("m02_train_fit_on_all", lambda s, d: trained(s, d, "all")[1], ("symbol", "train_rows", "test_rows", "n_features"), ("train_mae", "test_mae"))
+add("m02_train_per_symbol", lambda s, d: trained(s, d)[1], ("symbol", "train_rows", "test_rows", "n_features"), ("train_mae", "test_mae"), fits.TRAINED, fits.trained())
+add("m02_train_fit_on_all", lambda s, d: trained(s, d, "all")[1], ("symbol", "train_rows", "test_rows", "n_features"), ("train_mae", "test_mae"), fits.TRAINED, fits.trained("all"))
 
 
 def _one_feature(s, d):
@@ -103,7 +105,8 @@ def _predicted(s, d):
 
 
 add("m03_predict_per_symbol", _predicted, KEY, ("predicted",), "SELECT ts, symbol, b * close + c AS predicted FROM td JOIN fit USING (symbol)", (v.BARS, ONE, FIT))
-add("m03_predict_all_features", lambda s, d: md.predict_per_symbol(training_data(s, d), trained(s, d)[0], FEATURES), KEY, ("predicted",))
+add("m03_predict_all_features", lambda s, d: md.predict_per_symbol(training_data(s, d), trained(s, d)[0], FEATURES), KEY, ("predicted",),
+    "SELECT ts, symbol, predicted FROM pr", fits.trained())
 add("a09_training_summary",
     lambda s, d: mt.training_summary(_one_feature(s, d)[1], a.bars_hourly(s, d)), ("models", "best_symbol", "worst_symbol", "requested"),
     ("avg_train_mae", "avg_test_mae", "best_test_mae", "worst_test_mae", "success_rate"),
@@ -114,8 +117,26 @@ add("a09_training_summary",
 add("t05_top_models", lambda s, d: lk.top_rows(_one_feature(s, d)[1], 3, "test_mae", "symbol"), ("symbol",), ("test_mae",),
     """SELECT symbol, avg(abs(target - b * close - c)) FILTER (i > floor(n * 0.8::DOUBLE)) AS test_mae FROM td JOIN fit USING (symbol)
        GROUP BY 1 ORDER BY 2, 1 LIMIT 3""", (v.BARS, ONE, FIT))
-add("m04_forecast_ar", lambda s, d: md.forecast_ar(a.bars_hourly(s, d), steps=5, p=5, d=1), ("symbol", "step"), ("forecast", "lower_bound", "upper_bound"))
-add("m04_forecast_seasonal", lambda s, d: md.forecast_ar(a.bars_hourly(s, d), steps=3, p=2, d=1, season=12), ("symbol", "step"), ("forecast", "lower_bound", "upper_bound"))
+BOUNDS = ("forecast", "lower_bound", "upper_bound")
+
+
+def add_fitted(name, fn, exact, rounded, made, digits=6):
+    ctes, sql = made
+    add(name, fn, exact, rounded, sql, ctes, digits)
+
+
+def bars(s, d):
+    """Hourly bars, staged: an ordered operator reads them twice, the ticks are scanned once."""
+    return staged(a.bars_hourly(s, d), "bars")
+
+
+add_fitted("m04_forecast_ar", lambda s, d: md.forecast_ar(bars(s, d), steps=5, p=5, d=1), ("symbol", "step"), BOUNDS, fits.ar_forecast(range(1, 6), 5))
+add_fitted("m04_forecast_seasonal", lambda s, d: md.forecast_ar(bars(s, d), steps=3, p=2, d=1, season=12), ("symbol", "step"), BOUNDS, fits.ar_forecast((1, 2, 12), 3))
+add_fitted("m05_stationarity", lambda s, d: arma.stationarity(bars(s, d), lags=8), ("symbol", "n", "d"), ("kpss_0", "kpss_1"), fits.stationarity(8))
+add_fitted("m05_arma_orders", lambda s, d: arma.arma_orders(bars(s, d), max_p=2, max_q=1, d=1, long=4), ("symbol", "p", "q", "n"), ("intercept", "sigma2", "aic"), fits.arma_orders(4, 2, 1), digits=4)
+add_fitted("m04_arma_corner", lambda s, d: arma.forecast_arma(bars(s, d), steps=4, d=1, order=(1, 0)).withColumn("step", F.col("step").cast("bigint")), ("symbol", "step"), BOUNDS, fits.ar_forecast((1,), 4))
+add_fitted("m04_arma_forecast", lambda s, d: arma.forecast_arma(bars(s, d), steps=3, d=1, order=(1, 1), long=4), ("symbol", "step"), BOUNDS, fits.arma_11(4, 3), digits=5)
+add("m04_arma_search", lambda s, d: arma.forecast_arma(bars(s, d), steps=3), ("symbol", "step", "d", "p", "q"), BOUNDS)
 add("m04_ar1", lambda s, d: md.ar1(a.bars_hourly(s, d)), ("symbol", "n"), ("slope", "intercept"),
     f"""SELECT symbol, regr_slope(y, y1) AS slope, regr_intercept(y, y1) AS intercept, count(*) AS n FROM (SELECT symbol, y, lag(y) OVER {v.over()} AS y1 FROM (
         SELECT symbol, ts, close - lag(close) OVER {v.over()} AS y FROM bars)) WHERE y IS NOT NULL AND y1 IS NOT NULL GROUP BY symbol""", (v.BARS,))
@@ -132,8 +153,10 @@ add("m04_forecast_one_step", _forecast_one, ("symbol", "step"), ("forecast", "lo
     """SELECT symbol, 1::BIGINT AS step, f AS forecast, f - 1.96 * sd AS lower_bound, f + 1.96 * sd AS upper_bound FROM (
        SELECT symbol, sd, close + c + b * y AS f FROM dy JOIN ar USING (symbol) JOIN err USING (symbol)
        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)""", (v.BARS, AR1))
-add("m05_ar_orders", lambda s, d: md.ar_orders(staged(a.bars_hourly(s, d), "bars")), ("symbol", "order"), ("aic",))
-add("m05_best_order", lambda s, d: md.best_order(md.ar_orders(staged(a.bars_hourly(s, d), "bars"))), ("symbol", "order"), ("aic",))
+add_fitted("m05_ar_orders", lambda s, d: md.ar_orders(bars(s, d)), ("symbol", "order"), ("aic",), fits.ar_orders(5))
+AIC, AICS = fits.ar_orders(5)
+add("m05_best_order", lambda s, d: md.best_order(md.ar_orders(bars(s, d))), ("symbol", "order"), ("aic",),
+    'SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY aic, "order") = 1', [*AIC, f"orders AS ({AICS})"])
 
 
 def _recursive(s, d):
