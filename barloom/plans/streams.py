@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date
+import time
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from barloom.plans import sql_views as v
 from barloom.plans.registry import add
 from barloom.sources import adapters as a
 from barloom.sources import readers, writers
-from barloom.sources.storage import drop_old_partitions, shared_dir
+from barloom.sources.storage import drop_old_partitions, shared_dir, staged
 from barloom.streaming import jobs, state
 
 KEY = ("ts", "symbol")
@@ -281,3 +282,33 @@ NEWEST = """preds AS (SELECT symbol, max(ts) AS prediction_time, arg_max(close,
   any_value(c) + any_value(b) * arg_max(close, ts) AS predicted_price FROM bars JOIN fit USING (symbol) GROUP BY symbol)"""
 add("st09_prediction_cycle", _cycle, (*KEY, "signal_type"), ("predicted_price", "confidence", "target_price", "stop_loss"),
     "SELECT *, target_1 AS target_price FROM signals", v.signal_ctes(sg.HORIZON_DAYS["short"], (trading.ONE, trading.FIT, NEWEST)))
+
+
+def _periodic(s, d):
+    """All symbols once, then older rows of one of them: the others are silent, and all are predicted again and again."""
+    root = shared_dir(s, "periodic")
+    trading._one_feature(s, d)[0].write.parquet(f"{root}/models")
+    features = staged(ind.indicator_set(a.bars_hourly(s, d)), "features")
+    features.coalesce(1).write.parquet(f"{root}/features")
+    features.where("symbol = 'click'").orderBy("ts").limit(5).coalesce(1).write.mode("append").parquet(f"{root}/features")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(provider)
+    s.conf.set(provider, state.STATE_STORE)
+    try:
+        live = s.readStream.schema(features.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/features")
+        q = jobs.prediction_cycle(live, s.read.parquet(f"{root}/models"), ("close",), f"{root}/predictions", f"{root}/signals",
+                                  f"{root}/checkpoint", trigger={"processingTime": "1 second"}, every=timedelta(seconds=1))
+        end = time.monotonic() + 180
+        while q.isActive and time.monotonic() < end and not any(p["batchId"] >= 2 for p in q.recentProgress):
+            time.sleep(0.5)
+        q.stop()
+        if q.exception() is not None:
+            raise q.exception()
+    finally:
+        s.conf.set(provider, before)
+    made = writers.read_current(s, f"{root}/predictions")
+    return made.groupBy("symbol").agg((F.countDistinct("prediction_time") > 1).alias("again"), F.min("predicted_price").alias("predicted_price"), F.max("predicted_price").alias("highest"))
+
+
+add("st09_periodic_predictions", _periodic, ("symbol", "again"), ("predicted_price", "highest"),
+    "SELECT symbol, true AS again, predicted_price, predicted_price AS highest FROM preds", (v.BARS, trading.ONE, trading.FIT, NEWEST))

@@ -7,6 +7,7 @@ connector, files elsewhere.  Every sink has a checkpoint of its own.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from barloom.operators import models as md
 from barloom.operators import signals as sg
 from barloom.operators import validate as va
 from barloom.sources import readers, writers
+from barloom.streaming import state
 
 AVAILABLE = {"availableNow": True}
 
@@ -115,18 +117,23 @@ def upsert_stream(df: DataFrame, path: str, keys: Sequence[str], checkpoint: str
 
 
 def prediction_cycle(features: DataFrame, models: DataFrame, feature_names: Sequence[str], predictions: str, signals: str,
-                     checkpoint: str, model_name="short_term", horizon="short", trigger=None):
+                     checkpoint: str, model_name="short_term", horizon="short", trigger=None, every: timedelta | None = None):
     """Features to stored predictions and signals, every 60 seconds unless told otherwise.
 
-    ``models`` comes from ``train_per_symbol``; only the newest row per symbol of a batch is
-    predicted.
+    ``models`` comes from ``train_per_symbol``.  Without ``every`` the newest row per symbol of a micro-batch is predicted.
+    With it, every symbol seen so far is predicted once per interval from the newest features that are known of it, also
+    if nothing new came in; the prediction's time is then that of the cycle.  That needs the RocksDB state store.
     """
+    rows = state.newest_every(features, every) if every else features
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        newest = lk.latest(batch)
+        newest = batch.withColumn("ts", F.col("cycle")).drop("cycle") if every else lk.latest(batch)
         made = md.predict_per_symbol(newest, models, feature_names, out="predicted_price").withColumns(
             {"current_price": F.col("close"), "confidence": F.lit(0.5)}
         ).persist()
         try:
+            if made.isEmpty():
+                return
             stored = made.select(
                 F.col("ts").alias("prediction_time"), "symbol", F.lit(model_name).alias("model_name"),
                 F.lit(horizon).alias("horizon"), "predicted_price", "confidence",
@@ -139,7 +146,7 @@ def prediction_cycle(features: DataFrame, models: DataFrame, feature_names: Sequ
         finally:
             made.unpersist()
 
-    return _start(features, handle, checkpoint, trigger or {"processingTime": "60 seconds"})
+    return _start(rows, handle, checkpoint, trigger or {"processingTime": "60 seconds"})
 
 
 def greeks_job(spark: SparkSession, source: dict, root: str, checkpoint: str, trigger=None) -> list:

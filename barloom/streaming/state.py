@@ -195,6 +195,63 @@ def stored_state(bars: DataFrame, **ordering) -> DataFrame:
     return last_n(means, HISTORY).join(gaps, "symbol").select("ts", "symbol", *BAR_FIELDS, *EMA_SPANS, "gap")
 
 
+class NewestRow(StatefulProcessor):
+    """Keeps the newest row of a key and gives it out when the key first appears and then once per interval, rows or no rows."""
+
+    def __init__(self, schema: T.StructType, ts: str, every_ms: int):
+        self.schema, self.ts, self.every_ms = schema, ts, every_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.schema)
+
+    def _out(self, at_ms: int) -> pd.DataFrame:
+        row = pd.DataFrame([tuple(self.newest.get())], columns=self.schema.names)
+        return row.assign(cycle=pd.Timestamp(at_ms, unit="ms"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = self.schema.names.index(self.ts)
+        new = pd.concat(list(rows)).dropna(subset=[self.ts]).sort_values(self.ts, kind="stable")
+        if key[0] is None or not len(new):
+            return
+        first = not self.newest.exists()
+        last = tuple(_plain_value(new[c].iloc[-1]) for c in self.schema.names)
+        if first or last[at] >= self.newest.get()[at].replace(tzinfo=None):
+            self.newest.update(last)
+        if first:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(now + self.every_ms)
+            yield self._out(now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentProcessingTimeInMs()
+        # Intervals missed while the job was down are not made up for.
+        self.handle.registerTimer(due + self.every_ms * (1 + max(0, now - due) // self.every_ms))
+        yield self._out(due)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain_value(v):
+    if v is None or v is pd.NaT or v != v:
+        return None
+    return v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if isinstance(v, np.generic) else v
+
+
+def newest_every(rows: DataFrame, every: timedelta, by: str = "symbol", ts: str = "ts") -> DataFrame:
+    """The newest row per key of a stream, with the time of the ``cycle``: at once for a new key, then every interval by a processing-time timer.
+
+    A key that falls silent goes on being given out.  Among rows of the same time the last to come counts; rows without key or time are left out.
+    """
+    if "cycle" in rows.columns:
+        raise ValueError("a column named cycle is in the way")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+    out = T.StructType([*schema.fields, T.StructField("cycle", T.TimestampType())])
+    processor = NewestRow(schema, ts, int(every.total_seconds() * 1_000))
+    return rows.groupBy(by).transformWithStateInPandas(processor, out, "Append", "ProcessingTime")
+
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
