@@ -21,7 +21,7 @@ from barloom.operators import ordered as o
 from barloom.operators.lookup import last_n
 from barloom.operators.models import _gram, _symmetric, solve_udf
 from barloom.shipping import ship
-from barloom.sources.storage import staged
+from barloom.sources.staging import staged
 
 ship(__name__)
 

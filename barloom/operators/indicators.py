@@ -11,6 +11,7 @@ null until the window is full.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -329,84 +330,122 @@ def _continued(values: np.ndarray, span: int, start: float, gap: int) -> np.ndar
     return pd.Series(np.concatenate((before, values))).ewm(span=span, adjust=False).mean().to_numpy()[len(before):]
 
 
-def _slot_parts(values: Column, spans) -> Column:
-    """What a slot (its values in time order) does to a mean: ``lead`` nulls, a first value, then mean -> a * mean + b, ``trail`` nulls."""
+def _slot_parts(values: Column, spans, signal: int | None) -> Column:
+    """What a slot (its values in time order) does to the means: ``lead`` nulls, a first value, then mean -> a * mean + b, ``trail`` nulls.
+
+    With ``signal``, the mean of the line between the two spans goes along: after the first value it becomes
+    p * signal + qa * mean of the first span + qb * mean of the second + r.
+    """
     number = lambda x: F.lit(x).cast("double")
     start = F.struct(
         F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("trail"), F.lit(None).cast("double").alias("first"),
-        *[number(float(k == "a")).alias(f"{k}{s}") for s in spans for k in "ab"],
+        *[number(float(k == "a")).alias(f"{k}{s}") for s in spans for k in "ab"], *[number(float(k == "p")).alias(k) for k in ("p", "qa", "qb", "r")],
     )
 
     def step(acc: Column, x: Column) -> Column:
         new = acc["first"].isNull()
-        means = []
+        same = x.isNull() | new
+        means = {}
         for s in spans:
             alpha = 2.0 / (s + 1.0)
             old = F.pow(F.lit(1.0 - alpha), acc["trail"] + 1)
-            means += [
-                F.when(x.isNull() | new, acc[f"a{s}"]).otherwise(acc[f"a{s}"] * old / (old + alpha)).alias(f"a{s}"),
-                F.when(x.isNull() | new, acc[f"b{s}"]).otherwise((old * acc[f"b{s}"] + alpha * x) / (old + alpha)).alias(f"b{s}"),
-            ]
+            means[f"a{s}"] = F.when(same, acc[f"a{s}"]).otherwise(acc[f"a{s}"] * old / (old + alpha))
+            means[f"b{s}"] = F.when(same, acc[f"b{s}"]).otherwise((old * acc[f"b{s}"] + alpha * x) / (old + alpha))
+        line = {k: acc[k] for k in ("p", "qa", "qb", "r")}
+        if signal:
+            c, (one, two) = 2.0 / (signal + 1.0), spans
+            moved = {
+                "p": (1 - c) * acc["p"], "qa": (1 - c) * acc["qa"] + c * means[f"a{one}"], "qb": (1 - c) * acc["qb"] - c * means[f"a{two}"],
+                "r": (1 - c) * acc["r"] + c * (means[f"b{one}"] - means[f"b{two}"]),
+            }
+            line = {k: F.when(new, acc[k]).otherwise(m) for k, m in moved.items()}  # the line goes on over nulls
         return F.struct(
             (acc["lead"] + F.when(x.isNull() & new, 1).otherwise(0)).cast("long").alias("lead"),
-            F.when(x.isNull(), acc["trail"] + 1).otherwise(0).cast("long").alias("trail"), F.coalesce(acc["first"], x).alias("first"), *means,
+            F.when(x.isNull(), acc["trail"] + 1).otherwise(0).cast("long").alias("trail"), F.coalesce(acc["first"], x).alias("first"),
+            *[m.alias(k) for k, m in means.items()], *[m.alias(k) for k, m in line.items()],
         )
 
     return F.aggregate(values, start, step)
 
 
-def _slot_states(df: DataFrame, column: str, spans, by, ts, tie, slot) -> DataFrame:
-    """Per (by, slot) with a row: the mean of every span before the slot, and the nulls since the last value."""
-    kinds, slot_name = {f.name: f.dataType for f in df.schema}, o._SLOT
-    schema = T.StructType(
-        [T.StructField(c, kinds[c]) for c in by] + [T.StructField(slot_name, T.LongType()), T.StructField("_gap", T.LongType())]
-        + [T.StructField(f"_m{s}", T.DoubleType()) for s in spans]
-    )
-    x = F.col(column).cast("double")
-    rows = F.sort_array(F.collect_list(F.struct(ts, *[c for c in tie if c != ts], F.when(~F.isnan(x), x).alias("_x"))))
-    inside = df.dropna(subset=[*by, ts]).groupBy(*by, o.slot_of(ts, slot).cast("long").alias(slot_name)).agg(rows.alias("_rows"))
-    parts = inside.select(*by, slot_name, _slot_parts(F.transform("_rows", lambda r: r["_x"]), spans).alias("_part")).select(*by, slot_name, "_part.*")
+def _chained(table: DataFrame, spans, signal: int | None, by) -> DataFrame:
+    """The slot table with the means before every slot (``_m<span>``, ``_signal``) and the nulls since the last value (``_gap``)."""
+    kept = [f for f in table.schema.fields if f.name != "_rows"]
+    schema = T.StructType([*kept, T.StructField("_gap", T.LongType()), *(T.StructField(f"_m{s}", T.DoubleType()) for s in spans), T.StructField("_signal", T.DoubleType())])
+    names = [f.name for f in kept]
+    parts = table.select(*names, _slot_parts(F.transform("_rows", lambda r: r["_x"]), spans, signal).alias("_part")).select(*names, "_part.*")
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(slot_name)
-        mean, gap, out = dict.fromkeys(spans, math.nan), 0, []
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(o._SLOT)
+        mean, line, gap, out = dict.fromkeys(spans, math.nan), math.nan, 0, []
+        c = 2.0 / (signal + 1.0) if signal else 0.0
         for r in pdf.to_dict("records"):
-            out.append([*key, r[slot_name], gap, *(mean[s] for s in spans)])
+            out.append([*(r[n] for n in names), gap, *(mean[s] for s in spans), line])
+            height = mean[spans[0]] - mean[spans[-1]]
             if pd.isna(r["first"]):
+                line = height + (1 - c) ** r["trail"] * (line - height)
                 gap += r["trail"]
                 continue
+            line = height + (1 - c) ** r["lead"] * (line - height)
+            firsts = []
             for s in spans:
                 alpha = 2.0 / (s + 1.0)
                 old = (1.0 - alpha) ** (gap + r["lead"] + 1)
                 first = r["first"] if mean[s] != mean[s] else (old * mean[s] + alpha * r["first"]) / (old + alpha)
+                firsts.append(first)
                 mean[s] = r[f"a{s}"] * first + r[f"b{s}"]
+            height = firsts[0] - firsts[-1]
+            line = height if line != line else (1 - c) * line + c * height
+            line = r["p"] * line + r["qa"] * firsts[0] + r["qb"] * firsts[-1] + r["r"]
             gap = r["trail"]
         return pd.DataFrame(out, columns=schema.names)
 
     return parts.groupBy(*by).applyInPandas(chain, schema)
 
 
-def ema(df, column="close", spans=(12, 26), names=None, by="symbol", ts="ts", tie=(), rows=o.CHUNK_ROWS, slot=o.SLOT) -> DataFrame:
-    """Exponential means ``ema_<span>`` (or ``names``) of ``column`` in time order, for any chunk size."""
-    by, spans = o.keys(by), list(spans)
-    names = [f"ema_{s}" for s in spans] if names is None else list(names)
-    states = _slot_states(df, column, spans, by, ts, tie, slot)
-    cut = o.spread(df, by, ts, 0, 0, rows, slot, carry=lambda table: table.join(states, [*by, o._SLOT], "left"))
-    cut = cut.withColumn("_x", F.col(column).cast("double")).drop(o._BEFORE, o._TOTAL, o._SLOT, o._OWN)
+def _means(df, column, spans, signal: int | None, out: Callable[[pd.DataFrame], dict], names, by, ts, tie, rows, slot) -> DataFrame:
+    """Cut the series into chunks that know the means before them, and add the columns ``names`` by ``out``.
+
+    The input is read twice: for the slot table, which carries all means, and for the chunks.
+    """
+    by = o.keys(by)
+    x = F.col(column).cast("double")
+    inside = F.sort_array(F.collect_list(F.struct(ts, *[c for c in tie if c != ts], F.when(~F.isnan(x), x).alias("_x")))).alias("_rows")
+    cut = o.spread(df, by, ts, 0, 0, rows, slot, [inside], lambda table: _chained(table, spans, signal, by))
+    cut = cut.withColumn("_x", x).drop(o._BEFORE, o._TOTAL, o._SLOT, o._OWN)
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
     order, chunk = [ts, *tie], o._CHUNK
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        head = pdf.iloc[0]
-        for name, s in zip(names, spans):
-            pdf[name] = math.nan if head[chunk] < 0 else _continued(pdf["_x"].to_numpy(dtype=float), s, float(head[f"_m{s}"]), 0 if pd.isna(head["_gap"]) else int(head["_gap"]))
-        return pdf[schema.names]
+        nowhere = pdf.iloc[0][chunk] < 0
+        made = dict.fromkeys(names, math.nan) if nowhere else out(pdf)
+        return pdf.assign(**made)[schema.names]
 
     return cut.groupBy(*by, o._CHUNK).applyInPandas(smooth, schema)
 
 
-def macd_ema(df, fast=12, slow=26, signal=9, column="close", **ordering) -> DataFrame:
-    means = ema(df, column, (fast, slow), ("_fast", "_slow"), **ordering)
-    line = means.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    return ema(line, "macd", (signal,), ("macd_signal",), **ordering).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+def _span_mean(pdf: pd.DataFrame, span: int) -> np.ndarray:
+    head = pdf.iloc[0]
+    return _continued(pdf["_x"].to_numpy(dtype=float), span, float(head[f"_m{span}"]), 0 if pd.isna(head["_gap"]) else int(head["_gap"]))
+
+
+def ema(df, column="close", spans=(12, 26), names=None, by="symbol", ts="ts", tie=(), rows=o.CHUNK_ROWS, slot=o.SLOT) -> DataFrame:
+    """Exponential means ``ema_<span>`` (or ``names``) of ``column`` in time order, for any chunk size."""
+    spans = list(spans)
+    names = [f"ema_{s}" for s in spans] if names is None else list(names)
+
+    def out(pdf: pd.DataFrame) -> dict:
+        return {name: _span_mean(pdf, s) for name, s in zip(names, spans)}
+
+    return _means(df, column, spans, None, out, names, by, ts, tie, rows, slot)
+
+
+def macd_ema(df, fast=12, slow=26, signal=9, column="close", by="symbol", ts="ts", tie=(), rows=o.CHUNK_ROWS, slot=o.SLOT) -> DataFrame:
+    """``macd`` (fast mean minus slow mean), its exponential mean ``macd_signal`` and ``macd_histogram``, in one pass over the chunks."""
+    def out(pdf: pd.DataFrame) -> dict:
+        line = _span_mean(pdf, fast) - _span_mean(pdf, slow)
+        smooth = _continued(line, signal, float(pdf.iloc[0]["_signal"]), 0)
+        return {"macd": line, "macd_signal": smooth, "macd_histogram": line - smooth}
+
+    return _means(df, column, [fast, slow], signal, out, ["macd", "macd_signal", "macd_histogram"], by, ts, tie, rows, slot)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators import ordered as o
+from barloom.sources.staging import staged
 
 
 def instant(as_of) -> Column:
@@ -183,13 +184,15 @@ def asof_join(
         .agg(F.sum("_k").alias("_n"), edge.alias("_edge"))
     )
     series = W.partitionBy(*by).orderBy(F.col("_slot").desc() if forward else F.col("_slot"))
-    table = table.select(
+    # A row per slot, which both sides are joined with.
+    table = staged(table.dropna(subset=[*by, "_slot"]).select(
         *by,
         "_slot",
         F.last("_edge", ignorenulls=True).over(series.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"),
         F.greatest(F.ceil(F.col("_n") / rows), F.lit(1)).alias("_salts"),
-    )
-    salted_left = L.join(table, [*by, "_slot"]).withColumn("_salt", F.pmod("_h", "_salts"))
+    ), "slots")
+    # Left rows without a key or a time meet no right row, but stay, dealt out by hash.
+    salted_left = L.join(table, [*by, "_slot"], "left").withColumn("_salt", F.pmod("_h", F.coalesce("_salts", F.lit(o.APART))))
     salted_right = R.join(table, [*by, "_slot"]).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))
     )
@@ -200,16 +203,7 @@ def asof_join(
     time = F.col("_t").desc() if forward else F.col("_t")
     w = W.partitionBy(*by, "_slot", "_salt").orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
     found = F.coalesce(F.last("_r", ignorenulls=True).over(w), F.col("_carry"))
-    matched = both.withColumn("_m", found).filter(F.col("_side") == 1).select("_l.*", "_m.*")
-    # Left rows without a key or a time match nothing, but stay.
-    unplaced = None
-    for c in dict.fromkeys([*by, left_ts]):
-        if left.schema[c].nullable:
-            unplaced = F.col(c).isNull() if unplaced is None else unplaced | F.col(c).isNull()
-    if unplaced is None:
-        return matched
-    nothing = {v: F.lit(None).cast(right.schema[v].dataType) for v in values}
-    return matched.unionByName(left.filter(unplaced).withColumns(nothing))
+    return both.withColumn("_m", found).filter(F.col("_side") == 1).select("_l.*", "_m.*")
 
 
 def attach_underlying(quotes: DataFrame, bars: DataFrame, **kw) -> DataFrame:

@@ -21,6 +21,7 @@ from barloom.operators.lookup import instant, last_n
 from barloom.operators.prep import fit_scaler, scale
 from barloom.operators.quantiles import exact_quantiles
 from barloom.shipping import ship
+from barloom.sources.staging import staged
 
 ship(__name__)
 
@@ -307,19 +308,19 @@ def drift(reference: DataFrame, current: DataFrame, column: str, buckets: int =
           floor: float = 1e-6) -> DataFrame:
     """Population stability index of one column over the reference's quantile buckets."""
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = exact_quantiles(reference, column, probs).select(
-        F.array(*[f"q_{i}" for i in range(len(probs))])
-    )
+    known = staged(reference.select(F.col(column).alias("_x")).where("_x IS NOT NULL"), "reference")
+    cuts = exact_quantiles(known, "_x", probs).select(F.array(*[f"q_{i}" for i in range(len(probs))]).alias("_cuts"))
+    cuts = staged(cuts, "cuts")  # one row, which both sides read
 
-    def shares(df, name):
-        x = F.col(column)
-        cut = df.filter(x.isNotNull()).select(x.alias("_x")).withColumn("_cuts", cuts.scalar())
+    def shares(values, name):
+        cut = values.withColumn("_cuts", cuts.scalar())
         bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
         counts = cut.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("_c"))
         # One row per bucket, so the total is a window over at most `buckets` rows.
         return counts.select("bucket", (F.col("_c") / F.sum("_c").over(W.partitionBy())).alias(name))
 
-    both = shares(reference, "_r").join(shares(current, "_q"), "bucket", "full")
+    now = current.select(F.col(column).alias("_x")).where("_x IS NOT NULL")
+    both = shares(known, "_r").join(shares(now, "_q"), "bucket", "full")
     r, q = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(floor)) for c in ("_r", "_q"))
     return both.agg(F.sum((q - r) * F.ln(q / r)).alias("psi")).withColumn("drifted", F.col("psi") > threshold)
 

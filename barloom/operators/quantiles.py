@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.sources.staging import staged
+
 BINS = 65_536
 _FAR = 100_000  # bucket of the infinities, beyond every finite magnitude
 
@@ -59,10 +61,12 @@ def _inside(slim: DataFrame, by: Sequence[str], wanted: DataFrame) -> DataFrame:
 def order_statistics(df: DataFrame, col: str, ranks: Callable[[Column], list[Column]], by: Sequence[str] = ()) -> DataFrame:
     """Per group ``_n`` and ``v_0, v_1, ...``: the values at the 1-based ranks that ``ranks(_n)`` names.
 
-    Null and NaN are left out; -0.0 counts as 0.0.
+    Null and NaN are left out; -0.0 counts as 0.0.  The source is read once: its keys and values are staged for the three passes.
     """
-    by = list(by)
-    slim = _slim(df, col, by)
+    return _ranked(staged(_slim(df, col, list(by)), "values"), ranks, list(by))
+
+
+def _ranked(slim: DataFrame, ranks: Callable[[Column], list[Column]], by: list[str]) -> DataFrame:
     tally = [F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
     coarse = _holding(slim.groupBy(*by, _magnitude(F.col("_x")).alias("_bin")).agg(*tally), by, "_bin")
     coarse = coarse.withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))
@@ -108,9 +112,10 @@ def lower_tail(df: DataFrame, col: str, by: Sequence[str], share: float) -> Data
     """k = int(share * n): the value at 0-based rank k, and the mean of the k values before it."""
     by = list(by)
     k = F.floor(F.lit(share) * F.col("_n"))
-    at = order_statistics(df, col, lambda n: [F.floor(F.lit(share) * n) + 1], by)
+    slim = staged(_slim(df, col, by), "values")
+    at = _ranked(slim, lambda n: [F.floor(F.lit(share) * n) + 1], by)
     below = F.col("_x") < F.col("v_0")
-    sums = with_row(_slim(df, col, by), by, at, ["_n", "v_0"]).groupBy(*by, "_n", "v_0").agg(
+    sums = with_row(slim, by, at, ["_n", "v_0"]).groupBy(*by, "_n", "v_0").agg(
         F.count(F.when(below, 1)).alias("_c"), F.sum(F.when(below, F.col("_x")).otherwise(0.0)).alias("_s"),
     )
     total = F.col("_s") + F.when(k > F.col("_c"), (k - F.col("_c")) * F.col("v_0")).otherwise(0.0)
