@@ -14,6 +14,7 @@ from barloom.plans import sql_views as v
 from barloom.plans.registry import add
 from barloom.sources import adapters as a
 from barloom.sources import readers, writers
+from barloom.sources.messagelog import MessageLog
 from barloom.sources.storage import drop_old_partitions, shared_dir, staged
 from barloom.streaming import jobs, state
 
@@ -312,3 +313,20 @@ def _periodic(s, d):
 
 add("st09_periodic_predictions", _periodic, ("symbol", "again"), ("predicted_price", "highest"),
     "SELECT symbol, true AS again, predicted_price, predicted_price AS highest FROM preds", (v.BARS, trading.ONE, trading.FIT, NEWEST))
+
+
+def _message_log(s, d):
+    """Bars sent to a message log in two batches; a stream reads the first, and after a restart the rest."""
+    s.dataSource.register(MessageLog)
+    root = shared_dir(s, "log")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
+    messages = a.bars_hourly(s, d).select(F.col("symbol").alias("key"), F.to_json(F.struct("symbol", stamp, F.struct(*OHLC, "volume").alias("data"))).alias("value"), F.hour("ts").alias("h"))
+    options = {"path": f"{root}/log", "partitions": "4"}
+    for part in ("h < 12", "h >= 12"):
+        writers.send_batch(messages.where(part).drop("h"), "message_log", options, raw=True)
+        made = readers.parse_bars(readers.read_messages(s, "message_log", options))
+        jobs.finish(made.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(**jobs.AVAILABLE).start(f"{root}/out"))
+    return s.read.schema(made.schema).parquet(f"{root}/out")
+
+
+add("s01_k06_message_log", _message_log, (*KEY, "volume"), OHLC, "SELECT * FROM bars", (v.BARS,))

@@ -45,8 +45,9 @@ def to_batch_messages(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(*candidates).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def send_batch(df: DataFrame, fmt: str, options: dict, path: str | None = None) -> None:
-    writer = to_batch_messages(df).write.format(fmt).options(**options).mode("append")
+def send_batch(df: DataFrame, fmt: str, options: dict, path: str | None = None, raw: bool = False) -> None:
+    """Rows as messages to Kafka (connector needed), a message log or files; ``raw`` rows are messages (key, value) already."""
+    writer = (df if raw else to_batch_messages(df)).write.format(fmt).options(**options).mode("append")
     writer.save(path) if path else writer.save()
 
 
