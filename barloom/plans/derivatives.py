@@ -12,6 +12,7 @@ from barloom.functions import sqlfn
 from barloom.operators import chains as ch
 from barloom.operators import indicators as ind
 from barloom.operators import scenarios as sc
+from barloom.operators import surface as sf
 from barloom.plans import sql_views as v
 from barloom.plans.registry import AS_OF, add
 from barloom.sources import adapters as a
@@ -286,6 +287,20 @@ add("q15_chain_pivot", lambda s, d: ch.chain_pivot(_monthly(s, d)), ("symbol",),
 add("q16_iv_surface", lambda s, d: ch.iv_surface(_monthly(s, d)), ("symbol", "days_bucket", "quotes"), ("strike_bucket", "implied_volatility"),
     """SELECT symbol, floor(strike / 10) * 10 AS strike_bucket, (floor((expiration - ts::DATE) / 30.0::DOUBLE) * 30)::BIGINT AS days_bucket,
        avg(implied_volatility) AS implied_volatility, count(*) AS quotes FROM monthly GROUP BY 1, 2, 3""", (v.QUOTES, MONTHLY))
+
+
+def _latest_surface(s, d):
+    """Quotes of a month, type and strike are one contract; its newest at the date counts."""
+    quotes = _monthly(s, d).withColumn("contract", F.concat_ws("|", "symbol", "option_type", F.col("strike").cast("long"), "expiration"))
+    made = sf.latest_surface(quotes, SURFACE_DATE, 50.0, 30, "contract", tie=("options_ticker",))
+    return made.where("filled = 'observed'")
+
+
+SURFACE_DATE = "1995-06-30"
+add("q16_latest_surface", _latest_surface, ("symbol", "days_bucket", "quotes"), ("strike_bucket", "implied_volatility"),
+    f"""SELECT symbol, floor(strike / 50) * 50 AS strike_bucket, (floor((expiration - DATE '{SURFACE_DATE}') / 30.0::DOUBLE) * 30)::BIGINT AS days_bucket,
+       avg(implied_volatility) AS implied_volatility, count(*) AS quotes FROM (SELECT * FROM monthly WHERE ts <= TIMESTAMP '{SURFACE_DATE}' AND expiration >= DATE '{SURFACE_DATE}'
+       QUALIFY row_number() OVER (PARTITION BY symbol, option_type, strike::BIGINT, expiration ORDER BY ts DESC, options_ticker DESC) = 1) GROUP BY 1, 2, 3""", (v.QUOTES, MONTHLY))
 add("q17_put_call_ratio", lambda s, d: ch.put_call_ratio(a.quotes(s, d)), KEY, ("put_call_ratio",),
     f"""SELECT ts, symbol, sum(puts) OVER {v.last(20)} / nullif(sum(calls) OVER {v.last(20)}, 0)::DOUBLE AS put_call_ratio FROM (
         SELECT date_trunc('day', ts)::TIMESTAMP AS ts, symbol, sum(CASE WHEN option_type = 'put' THEN volume ELSE 0 END) AS puts,

@@ -13,10 +13,10 @@ from barloom.plans import quality, trading, windows
 from barloom.plans import sql_views as v
 from barloom.plans.registry import add
 from barloom.sources import adapters as a
-from barloom.sources import readers, writers
+from barloom.sources import readers, rollup, writers
 from barloom.sources.messagelog import MessageLog
 from barloom.sources.storage import drop_old_partitions, shared_dir, staged
-from barloom.streaming import jobs, state
+from barloom.streaming import jobs, observed, state
 
 KEY = ("ts", "symbol")
 OHLC = ("open", "high", "low", "close")
@@ -330,3 +330,28 @@ def _message_log(s, d):
 
 
 add("s01_k06_message_log", _message_log, (*KEY, "volume"), OHLC, "SELECT * FROM bars", (v.BARS,))
+
+
+def _rolled(s, d):
+    """Ticks by day in three lots, dealt by event and not by time; days older than a week are rolled up, and ticks for them come once more."""
+    root = shared_dir(s, "rollup")
+    ticks = a.ticks(s, d).withColumn("date", F.to_date("ts"))
+    for lot in range(3):
+        ticks.where(F.col("event_id") % 3 == lot).write.mode("append").partitionBy("date").parquet(f"{root}/raw")
+        rollup.roll_up(s, f"{root}/raw", f"{root}/bars", date(2024, 1, 30) if lot else date(2024, 1, 10), 7, tie=("event_id",))
+    rollup.roll_up(s, f"{root}/raw", f"{root}/bars", date(2100, 1, 1), 7, tie=("event_id",))
+    return rollup.read_bars(s, f"{root}/bars")
+
+
+add("s12_st10_rolled_bars", _rolled, (*KEY, "volume"), OHLC, "SELECT * FROM bars", (v.BARS,))
+
+
+def _observed(s, d):
+    """Checked bars written in one pass, with the figures of that pass."""
+    found = observed.write_validated(quality._bad_bars(s, d), "price", f"{shared_dir(s, 'observed')}/bars")
+    return s.createDataFrame([(found["total"], found["valid"], found["invalid"], found["success_rate"])], "total long, valid long, invalid long, success_rate double")
+
+
+add("v07_observed_summary", _observed, ("total", "valid", "invalid"), ("success_rate",),
+    f"""SELECT count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid,
+        count(*) FILTER (ok) * 100.0::DOUBLE / count(*) AS success_rate FROM (SELECT {quality.BAR_ERRORS} = '' AS ok FROM bad)""", (v.BARS, quality.BAD_BARS))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 from functools import reduce
 
@@ -179,7 +179,8 @@ def recover(spark: SparkSession, path: str) -> None:
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
-           update_cols: Sequence[str] | None = None, order: Sequence[str] = (), ts: str = "ts") -> str:
+           update_cols: Sequence[str] | None = None, order: Sequence[str] = (), ts: str = "ts",
+           merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> str:
     """Insert-or-update a Parquet table kept as date partitions.
 
     Only partitions the updates touch are read and rewritten (``ts`` is part of the key, so
@@ -187,6 +188,7 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[st
     reduced to one row per key, and staged.  The merged partitions are written beside the table; then a marker commits
     them; then they move in.  A failure before the marker leaves the table as it was, one after it is finished by the
     next upsert.  One job at a time may update a table: the caller sees to that, no lock is taken.
+    ``merge(stored, updates)`` may say how the rows of the touched partitions come together; both have a ``date``.
     """
     recover(spark, path)
     fs, left = _fs(spark, f"{path.rstrip('/')}__staging_*")
@@ -201,7 +203,7 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[st
         target = spark.read.parquet(path)
         days = dated.select(F.col("date").alias("_day")).distinct()
         touched = target.join(days, F.col("date").eqNullSafe(F.col("_day")), "left_semi").select(*dated.columns)
-        merged = merge_updates(touched, dated, [*keys, "date"], update_cols, order)
+        merged = merge(touched, dated) if merge else merge_updates(touched, dated, [*keys, "date"], update_cols, order)
     merged.write.partitionBy("date").parquet(f"{staging}/merged")
     if partitions_of(spark, f"{staging}/merged"):
         _put_text(spark, _marker(path), f"{staging}/merged")
