@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators import ordered as o
 from barloom.operators.quantiles import lower_tail
+from barloom.sources.staging import staged
 
 KINDS = ("european", "asian", "digital", "down-out", "down-in", "up-out", "up-in")
 
@@ -88,6 +90,68 @@ def scenario_payoff(paths: DataFrame, contracts: DataFrame, kind: str, key="cont
     return estimate(priced, "_value", (key,))
 
 
+def _bin(x):
+    """Bins of about one percent, in the order of the values."""
+    return F.floor(F.asinh(x) * 100)
+
+
+def scenario_payoff_many(facts: DataFrame, contracts: DataFrame, kind: str, key="contract_id", on="symbol", payout: float = 1.0,
+                         rows: int = o.CHUNK_ROWS) -> DataFrame:
+    """Like ``scenario_payoff`` over ``path_facts``, for many contracts on the same paths, without a row per path and contract.
+
+    A contract needs the number, sum and sum of squares of the prices beyond its strike (with a barrier: of the paths that count for it; paths meet the
+    distinct barriers of their symbol).  Those of whole bins of prices are running sums over bins; inside the strike's bin, prices and strikes pass by
+    once in order.  Bins of more than ``rows`` prices are split by hash, and the strikes copied to each part, whose sums add up.
+    ``on`` and strike of a contract must not be null.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"Unknown payoff kind: {kind}")
+    barred = kind[:2] in ("do", "up")
+    group = [on, "barrier"] if barred else [on]
+    centre = contracts.groupBy(on).agg(F.avg("strike").cast("double").alias("_c"))  # prices are measured from here, which keeps the squares small
+    sized = staged(facts.join(centre, on).select(on, (F.col("average" if kind == "asian" else "terminal") - F.col("_c")).alias("_x"), "lowest", "highest"), "path-facts")
+    totals = sized.groupBy(on).agg(F.count(F.lit(1)).alias("paths"))
+    prices = sized
+    if barred:
+        touched = F.col("lowest") <= F.col("barrier") if kind.startswith("down") else F.col("highest") >= F.col("barrier")
+        prices = sized.join(contracts.select(*group).distinct(), on).where(~touched if kind.endswith("out") else touched)
+    prices = prices.select(*group, "_x", _bin(F.col("_x")).alias("_bin"))
+    strikes = contracts.join(centre, on).select(*group, key, (F.col("strike") - F.col("_c")).alias("_k")).withColumn("_bin", _bin(F.col("_k")))
+    x = F.col("_x")
+    moments = [F.count(x).alias("_n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_s"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("_q")]
+    places = prices.unionByName(strikes.select(*group, F.lit(None).cast("double").alias("_x"), "_bin"))
+    above = W.partitionBy(*group).orderBy(F.col("_bin").desc()).rowsBetween(W.unboundedPreceding, -1)
+    below = W.partitionBy(*group).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = places.groupBy(*group, "_bin").agg(*moments)
+    carried = [F.coalesce(F.sum(c).over(w), F.lit(0)).cast("double").alias(f"{c}_{side}") for side, w in (("up", above), ("down", below)) for c in ("_n", "_s", "_q")]
+    bins = staged(bins.select(*group, "_bin", F.greatest(F.ceil(F.col("_n") / rows), F.lit(1)).cast("int").alias("_parts"), *carried), "price-bins")
+    keys = [*group, "_bin"]
+    dealt = prices.join(bins.select(*keys, "_parts"), keys).select(*keys, F.pmod(F.xxhash64("_x", F.monotonically_increasing_id()), F.col("_parts")).cast("int").alias("_part"), F.col("_x").alias("_v"), "_x")
+    asked = strikes.join(bins.select(*keys, "_parts"), keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    both = dealt.unionByName(asked.select(*keys, "_part", F.col("_k").alias("_v"), F.lit(None).cast("double").alias("_x"), key), allowMissingColumns=True)
+    # A strike comes before equal prices in either direction, so only prices beyond it are summed.
+    of = W.partitionBy(*keys, "_part")
+    ask = F.col(key).isNull().cast("int")
+    up, down = of.orderBy(F.col("_v").desc(), ask), of.orderBy("_v", ask)
+    here = [
+        F.coalesce(f.over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).cast("double").alias(f"{c}_{side}_in")
+        for side, w in (("up", up), ("down", down)) for c, f in (("_n", F.count(x)), ("_s", F.sum(x)), ("_q", F.sum(x * x)))
+    ]
+    inside = both.select("*", *here).where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(f"{c}_{side}_in").alias(f"{c}_{side}_in") for side in ("up", "down") for c in ("_n", "_s", "_q")])
+    found = strikes.join(bins, keys).join(inside, key).join(contracts.select(key, "option_type", "rate", "years"), key).join(totals, on)
+    call = F.col("option_type") == "call"
+    n, s, q = (F.when(call, F.col(f"{c}_up") + F.col(f"{c}_up_in")).otherwise(F.col(f"{c}_down") + F.col(f"{c}_down_in")) for c in ("_n", "_s", "_q"))
+    k, discount = F.col("_k"), F.exp(-F.col("rate") * F.col("years"))
+    if kind == "digital":
+        first, second = n * payout, n * payout * payout
+    else:
+        first, second = F.when(call, s - k * n).otherwise(k * n - s), q - 2.0 * k * s + k * k * n
+    mean, square = first / F.col("paths"), second / F.col("paths")
+    return found.select(
+        key, "paths", (discount * mean).alias("price"), (discount * F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) / F.col("paths"))).alias("std_error"),
+    ).withColumns({"ci_lower": F.col("price") - F.col("std_error") * 1.96, "ci_upper": F.col("price") + F.col("std_error") * 1.96})
+
+
 def var_cvar(pnl: DataFrame, by=("portfolio",), value="pnl", initial="initial_value",
              confidence: float = 0.95, position_size: float = 1.0) -> DataFrame:
     """Value at risk and expected shortfall, as amounts and percent of the initial value.

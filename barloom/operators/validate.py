@@ -33,6 +33,9 @@ def _has(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
 
 
+# Fixed values, here and below: the error texts and the limits.
+
+
 def validate_bars(df: DataFrame) -> DataFrame:
     c, checks = F.col, []
     if _has(df, "open", "high", "low", "close"):

@@ -240,6 +240,23 @@ for _kind in sc.KINDS:
         (v.BARS, RETURNS, WIDE_PATHS, FACTS, CONTRACTS))
 
 
+def _many(kind):
+    def run(s, d):
+        barrier = 95.0 if kind.startswith("down") else 106.0
+        contracts = _contracts(s, d).withColumn("barrier", F.lit(barrier))
+        return sc.scenario_payoff_many(sc.path_facts(_paths(s, d), ("symbol",)), contracts, kind)
+
+    return run
+
+
+for _kind in ("european", "digital", "down-out"):
+    add(f"q11_many_{_kind.replace('-', '_')}", _many(_kind), ("contract_id", "paths"), ("price", "std_error", "ci_lower", "ci_upper"),
+        f"""SELECT *, price - 1.96 * std_error AS ci_lower, price + 1.96 * std_error AS ci_upper FROM (SELECT contract_id, count(*) AS paths,
+            avg(x) AS price, stddev_pop(x) / sqrt(count(*)) AS std_error FROM (SELECT contract_id,
+            exp(-0.05::DOUBLE * 0.25::DOUBLE) * ({PAYOFF_SQL[_kind]}) AS x FROM facts JOIN contracts USING (symbol)) GROUP BY 1)""",
+        (v.BARS, RETURNS, WIDE_PATHS, FACTS, CONTRACTS))
+
+
 def _line_values(s, d):
     """A plain payoff sample: one discounted value per line item and contract class."""
     return a.table(s, d, "lineitem").select(

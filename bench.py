@@ -20,7 +20,7 @@ HEADLINE = [
     "a01_mape_over_time", "a08_regression_metrics", "a15_draw_summary", "k04_merge_updates", "k08_quote_points",
     "m02_train_per_symbol", "m04_forecast_ar", "m10_drift", "r08_signals_short", "r11_strategy_legs", "r12_r14_expiry_strategies",
     "s13_adjust_bars", "q17_iv_percentile", "q11_payoff_down_out", "m03_predict_per_symbol", "m05_ar_orders", "t07_market_movers",
-    "st02_stateful_indicators", "st07_upsert_stream",
+    "st02_stateful_indicators", "st07_upsert_stream", "m02_ridge_choice", "m05_arma_orders", "q11_many_european", "s12_st10_rolled_bars",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

@@ -179,3 +179,25 @@ def test_validators_skip_what_is_missing(spark):
     assert validate.validate_bars(df.select("id")).filter("is_valid").count() == 2
     summary = validate.validation_summary(df.limit(0), "price").first()
     assert (summary.total, summary.success_rate) == (0, 0.0)
+
+
+def test_many_contracts_equal_each_contract_over_its_paths(spark):
+    """Strikes equal to prices, barriers of their own, bins split into parts; against the join of paths and contracts."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from barloom.operators import scenarios as sc
+
+    rng = np.random.default_rng(4)
+    paths = [(s, i, k, float(p)) for s, n in (("A", 300), ("B", 40)) for i in range(n) for k, p in enumerate(np.round(100 * np.exp(np.cumsum(np.r_[0, rng.normal(0, 0.02, 4)])), 1))]
+    facts = sc.path_facts(spark.createDataFrame(paths, "symbol string, path_id long, step int, price double"), ("symbol",))
+    ends = sorted({r.terminal for r in facts.collect()})
+    rows = [(i, "AB"[i % 2], float(rng.choice(ends)) if i % 3 else float(rng.uniform(60, 140)), ("call", "put")[i % 4 // 2], float(rng.choice([96.0, 98.0, 102.0, 105.0])), 0.05, 0.25) for i in range(60)]
+    contracts = spark.createDataFrame(rows, "contract_id long, symbol string, strike double, option_type string, barrier double, rate double, years double")
+    for kind in sc.KINDS:
+        value = sc.payoff(kind, 2.0) * F.exp(-F.col("rate") * F.col("years"))
+        want = sc.estimate(facts.join(contracts, "symbol").withColumn("_value", value), "_value").orderBy("contract_id").toPandas()
+        got = sc.scenario_payoff_many(facts, contracts, kind, payout=2.0, rows=20).orderBy("contract_id").toPandas()
+        assert (got.paths == want.paths).all() and len(got) == 60
+        for c in ("price", "std_error", "ci_lower", "ci_upper"):
+            np.testing.assert_allclose(got[c], want[c], atol=1e-6, err_msg=f"{kind} {c}")
