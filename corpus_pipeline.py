@@ -14,7 +14,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest id."""
+    """One document of each group of near copies (0.8 of their five-word shingles) stays, that with the smallest id."""
     return simhash_bk.keep_one(docs)
 
 
