@@ -239,6 +239,20 @@ def _once(s, d):
 add("st06_once_per_key", _once, ("event_id", "symbol", "ts"), ("price",), "SELECT * FROM ticks", (v.TICKS,))
 
 
+def _once_ever(s, d):
+    """Every event comes again 40 days later under a later time, far beyond any watermark."""
+    root = shared_dir(s, "once-ever")
+    ticks = a.ticks(s, d).select("event_id", "symbol", "ts", "price")
+    for days in (0, 40):
+        ticks.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).write.mode("append").parquet(f"{root}/in")
+        live = s.readStream.schema(ticks.schema).parquet(f"{root}/in")
+        jobs.finish(jobs.once_ever(live, ["event_id"], f"{root}/ledger", f"{root}/out", f"{root}/checkpoint", trigger=jobs.AVAILABLE))
+    return s.read.parquet(f"{root}/out")
+
+
+add("st06_once_ever", _once_ever, ("event_id", "symbol", "ts"), ("price",), "SELECT * FROM ticks", (v.TICKS,))
+
+
 def _upsert_stream(s, d):
     """The day's last price per user and symbol, kept by merging micro-batches."""
     root = shared_dir(s, "upsert-stream")

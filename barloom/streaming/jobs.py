@@ -17,7 +17,7 @@ from barloom.operators import lookup as lk
 from barloom.operators import models as md
 from barloom.operators import signals as sg
 from barloom.operators import validate as va
-from barloom.sources import readers, writers
+from barloom.sources import keyledger, readers, writers
 from barloom.streaming import state
 
 AVAILABLE = {"availableNow": True}
@@ -52,6 +52,21 @@ def once_per_key(messages: DataFrame, keys: Sequence[str], delay="10 minutes", t
     return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def once_ever(messages: DataFrame, keys: Sequence[str], ledger: str, out: str, checkpoint: str, ts="ts", order=(), trigger=None,
+              observe: Callable[[int, dict], None] | None = None):
+    """Each key once, however late its repeats come: a stored ledger remembers what the watermark forgets.
+
+    ``observe`` is told, per micro-batch, how many dates the ledger holds and how many of them were read.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fresh, figures = keyledger.admit(batch.sparkSession, ledger, batch, keys, batch_id, ts, order)
+        write_batch(fresh, out, batch_id)
+        if observe:
+            observe(batch_id, figures)
+
+    return _start(messages, handle, checkpoint, trigger)
+
+
 def fresh_only(messages: DataFrame, text="timestamp", as_of=None, max_age: float = 86_400) -> DataFrame:
     """Keep messages not older than ``max_age`` seconds and not from the future."""
     now = F.current_timestamp() if as_of is None else as_of
