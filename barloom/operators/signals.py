@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,10 +134,14 @@ def confidence_band(x) -> Column:
     )
 
 
-def to_signal_table(signals: DataFrame, strategy="prediction", ts="ts") -> DataFrame:
-    """The stored signal record; the scores go into the metadata map."""
+def to_signal_table(signals: DataFrame, strategy="prediction", ts="ts", more: Sequence[str] | None = None) -> DataFrame:
+    """The stored signal record; the scores go into the metadata map.
+
+    With ``more``, the metadata is a VARIANT that also holds these columns with types of their own.
+    """
     extra = ("expected_return", "technical_score", "momentum_score", "position_size", "risk_reward_ratio")
     pairs = [x for c in extra for x in (F.lit(c), F.col(c))]
+    metadata = F.create_map(*pairs) if more is None else F.to_variant_object(F.struct(*extra, *more))
     return signals.select(
         F.col(ts).alias("ts"),
         "symbol",
@@ -145,5 +150,5 @@ def to_signal_table(signals: DataFrame, strategy="prediction", ts="ts") -> DataF
         F.col("target_1").alias("target_price"),
         "stop_loss",
         "confidence",
-        F.create_map(*pairs).alias("metadata"),
+        metadata.alias("metadata"),
     )

@@ -10,8 +10,9 @@ from barloom.plans import shapes
 from barloom.plans import sql_views as v
 from barloom.plans.registry import AS_OF, add
 from barloom.sources import adapters as a
-from barloom.sources.storage import staged
+from barloom.sources import openfields as of
 from barloom.sources import payloads as pl
+from barloom.sources.storage import shared_dir, staged
 
 KEY = ("ts", "symbol")
 OHLC = ("open", "high", "low", "close")
@@ -224,6 +225,50 @@ add("s07_explode_news",
     ("key", "symbol", "n_chars"), (),
     """SELECT doc_id::VARCHAR AS key, source AS symbol, length(text) AS n_chars FROM documents
        UNION ALL SELECT substring(text, 1, 50), source, length(text) FROM documents""")
+
+
+def _open_chains(s, d):
+    """Chain messages whose contracts carry fields that no schema names; every third has its strike as text that is no number."""
+    odd = F.pmod(F.col("volume"), F.lit(3)) == 0
+    contract = F.struct(
+        F.when(odd, F.lit("n/a")).otherwise(F.col("strike").cast("string")).alias("strike_price"), F.col("expiration").cast("string").alias("expiration_date"),
+        F.col("option_type").alias("contract_type"), "volume", F.struct("implied_volatility", F.array("underlying_price").alias("seen")).alias("vendor"))
+    results = F.struct(F.array(contract).alias("results")).alias("data")
+    return a.quotes(s, d).select(F.to_json(F.struct("symbol", results)).alias("value"))
+
+
+def _open_chain(s, d):
+    """Read, stored, read back, and sent out again: known fields as columns, the others by path."""
+    path = shared_dir(s, "open-chain")
+    of.open_chain(_open_chains(s, d)).write.parquet(path)
+    stored = s.read.parquet(path)
+    out = F.to_json(of.untyped({k: x for k, x in of.CONTRACT.items() if k != "expiration"}))
+    return stored.withColumns({
+        "contracts": of.at("extra", "$.volume", "bigint"), "vol": of.at("extra", "$.vendor.implied_volatility", "double"), "seen": of.at("extra", "$.vendor.seen[0]", "double"),
+        "raw_strike": of.at("extra", "$.strike_price", "string"), "sent_type": F.get_json_object(out, "$.contract_type"), "sent_volume": F.get_json_object(out, "$.volume").cast("bigint")})
+
+
+add("s06_open_chain", _open_chain, ("symbol", "expiration", "option_type", "contracts", "raw_strike", "sent_type", "sent_volume"), ("strike", "vol", "seen"),
+    """SELECT symbol, expiration::VARCHAR AS expiration, option_type, volume AS contracts, CASE WHEN volume % 3 = 0 THEN 'n/a' END AS raw_strike, option_type AS sent_type,
+       volume AS sent_volume, CASE WHEN volume % 3 <> 0 THEN strike END AS strike, implied_volatility AS vol, underlying_price AS seen FROM quotes""", (v.QUOTES,), digits=4)
+add("s06_field_census", lambda s, d: of.census(of.open_chain(_open_chains(s, d))).withColumn("object", F.col("kind").startswith("OBJECT"))
+    .groupBy("field", "object").agg(F.sum("rows").alias("rows")), ("field", "object", "rows"), (),
+    """SELECT 'strike_price' AS field, false AS object, count(*) AS rows FROM quotes WHERE volume % 3 = 0 HAVING count(*) > 0
+       UNION ALL SELECT 'volume', false, count(*) FROM quotes UNION ALL SELECT 'vendor', true, count(*) FROM quotes""", (v.QUOTES,))
+
+
+def _open_feeds(s, d):
+    """Articles with fields that no schema names, every second one without an id."""
+    article = F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("headline"), F.col("source").alias("symbol"),
+                       F.struct(F.col("lang").alias("code"), F.length("text").alias("size")).alias("language"))
+    return a.table(s, d, "documents").select(F.to_json(F.struct(F.array(article).alias("feed"))).alias("value"))
+
+
+add("s07_open_news", lambda s, d: of.open_news(_open_feeds(s, d)).withColumns({
+        "n_chars": F.length("headline").cast("bigint"), "code": of.at("extra", "$.language.code", "string"), "size": of.at("extra", "$.language.size", "bigint")}),
+    ("key", "symbol", "n_chars", "code", "size"), (),
+    """SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE substring(text, 1, 50) END AS key, source AS symbol, length(text) AS n_chars, lang AS code,
+       length(text) AS size FROM documents""")
 add("s08_chain_sides",
     lambda s, d: pl.chain_sides(a.quotes(s, d).filter("option_type = 'call'").drop("option_type"),
                                 a.quotes(s, d).filter("option_type = 'put'").drop("option_type")),

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from barloom.operators import signals as sg
 from barloom.operators import indicators as ind
-from barloom.plans import quality, trading, windows
+from barloom.plans import quality, shapes, trading, windows
 from barloom.plans import sql_views as v
 from barloom.plans.registry import add
 from barloom.sources import adapters as a
+from barloom.sources import openfields as of
 from barloom.sources import readers, rollup, writers
 from barloom.sources.messagelog import MessageLog
 from barloom.sources.storage import drop_old_partitions, shared_dir, staged
@@ -88,6 +89,25 @@ add("k04_upsert_null_times", _upserted_null_times, ("symbol", "slot", "ts", "vol
        UNION ALL SELECT symbol, epoch(ts)::BIGINT + 1800, ts + INTERVAL 30 MINUTE, open, close, volume, 1::INT FROM bars WHERE hour(ts) = 23""", (v.BARS,))
 
 
+def _signal_metadata(s, d):
+    """Signals stored with metadata of open fields; a later job adds a field of its own, then signals are found by path."""
+    path, keys = shared_dir(s, "signal-metadata"), ["symbol", "strategy", "ts"]
+    made = staged(shapes.signals(s, d).select("ts", "symbol", "signal_type", "confidence", "target_1", "stop_loss", "expected_return", "technical_score", "momentum_score",
+                                              "position_size", "risk_reward_ratio", F.to_json(F.struct("symbol")).alias("tags")), "signals")
+    writers.upsert(s, path, sg.to_signal_table(made, more=()), keys, order=["confidence"])
+    later = made.where(F.hour("ts") < 6).withColumns({"model": F.struct(F.lit("v2").alias("version"), F.hour("ts").alias("hour")), "tags": F.array("symbol", "signal_type")})
+    writers.upsert(s, path, sg.to_signal_table(later, more=("model", "tags")), keys, order=["confidence"])
+    stored = writers.read_current(s, path).withColumns({
+        "score": of.at("metadata", "$.technical_score", "double"), "version": of.at("metadata", "$.model.version", "string"),
+        "hour": of.at("metadata", "$.model.hour", "string"), "tag": of.at("metadata", "$.tags[1]", "string")})
+    return stored.where(of.present("metadata", "$.model") | (F.col("score") > 0.5))
+
+
+add("k04_signal_metadata", _signal_metadata, (*KEY, "signal_type", "version", "hour", "tag"), ("confidence", "score"),
+    """SELECT ts, symbol, signal_type, confidence, technical_score AS score, CASE WHEN hour(ts) < 6 THEN 'v2' END AS version, CASE WHEN hour(ts) < 6 THEN hour(ts)::VARCHAR END AS hour,
+       CASE WHEN hour(ts) < 6 THEN signal_type END AS tag FROM signals WHERE hour(ts) < 6 OR technical_score > 0.5""", v.signal_ctes())
+
+
 def _training_results(s, d):
     path = shared_dir(s, "results")
     writers.write_results(trading._one_feature(s, d)[1], path)
