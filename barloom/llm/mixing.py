@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom.llm._common import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that one bin of the key space is meant to hold; bins, not whole sources, are sorted in one task.
+#: Rows that one bin of the key space is meant to hold; of each source one bin is sorted in one task.
 BIN_ROWS = 50_000
 
 
@@ -68,13 +68,15 @@ def mix(
 ) -> DataFrame:
     """How much of each row the mix takes: (id, source, size, source_size, target, epochs_full, taken).
 
-    Each row gets the hash-random key md5(seed:id).  The keys are uniform, so the range sort within a source
-    needs no sampling: the leading hex digits cut every source into bins of about ``bin_rows`` rows at most,
-    a source with a third of all rows into very many.  Word counts are summed per bin, added up
-    over the bins of a source, and each bin is then sorted by itself.  A source takes every row ``full``
-    times and, in key order, once more up to its exact budget; the row at the cut is taken in part.
+    Each row gets the hash-random key md5(seed:id).  The keys are uniform, so the range sort within a source needs no
+    sampling: the leading hex digits cut every source into bins of about ``bin_rows`` rows.  Word counts are summed per bin
+    before the shuffle and added up over the bins of a source; a source takes every row ``full`` times and, in key order, once
+    more up to its exact budget, so one bin of each source holds its cut.  Only those bins are sorted: the rows are
+    compared with their source's cut where they lie.  The row at the cut is taken in part.
 
-    Null ids and repeated ids are rows like others (ties go by size); a null source is a source of its own, last
+    Null ids and repeated ids are rows like others: rows with one key go by size, and in the sorted bins they are counted
+    per size first, so a third of all rows under one id is no large group.  Rows equal in key and size are alike; if the cut falls
+    among them, it takes as many as it needs in the order they were staged in.  A null source is a source of its own, last
     in order; null and empty texts have size 0 and take 0; an empty table gives an empty result; other columns
     are not read.  The narrow rows are staged once, so texts are read a single time.
     """
@@ -84,6 +86,7 @@ def mix(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).isNull().cast("int").alias("no_source"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"), size.alias("size"), key.alias("key"),
+            F.monotonically_increasing_id().alias("at"),
         ),
         "mix-rows",
     )
@@ -92,21 +95,38 @@ def mix(
     source = ["no_source", "name"]
     bins = rows.groupBy(*source, "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(bins.groupBy(*source).agg(F.sum("bin_size").alias("source_size")), weights, epochs)
-    earlier = Window.partitionBy(*source).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = bins.select(*source, "bin", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)).alias("bin_start")).join(targets, source)
-    inside = Window.partitionBy(*source, "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.col("bin_start") + F.sum("size").over(inside) - F.col("size")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return (
-        rows.join(cuts, [*source, "bin"])
-        .withColumn("extra", extra)
-        .select(
-            F.col("id").alias(id_col), F.when(F.col("no_source") == 0, F.col("name")).alias(source_col), "size", "source_size", "target",
-            F.col("full").alias("epochs_full"), (F.col("full") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-        )
+    cuts = staged(_cuts(rows, bins, targets), "mix-cuts")
+
+    placed = rows.join(cuts, source)
+    same = (F.col("key") == F.col("cut_key")) & (F.col("size") == F.col("cut_size"))
+    before = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("size") < F.col("cut_size")))
+    apart = placed.where(~F.coalesce(same, F.lit(False))).withColumn("extra", F.when(before, F.col("size")).otherwise(F.lit(0)))
+    # Rows alike at the cut are numbered by the part of the staged table that they lie in.
+    alike = placed.where(same).withColumn("part", F.shiftright("at", 33))
+    order = Window.partitionBy(*source).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = alike.groupBy(*source, "part").agg(F.count(F.lit(1)).alias("n")).select(*source, "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("earlier"))
+    number = F.col("earlier") + F.row_number().over(Window.partitionBy(*source, "part").orderBy("at")) - 1
+    left = F.col("rest") - F.col("cut_start") - number * F.col("size")
+    numbered = alike.join(parts, [*source, "part"]).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    return apart.unionByName(numbered.select(*apart.columns)).select(
+        F.col("id").alias(id_col), F.when(F.col("no_source") == 0, F.col("name")).alias(source_col), "size", "source_size", "target",
+        F.col("full").alias("epochs_full"), (F.col("full") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
     )
 
 
+def _cuts(rows: DataFrame, bins: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` with the key and size at which each source's last epoch ends, and the words before them; null for sources without words."""
+    source = ["no_source", "name"]
+    start = F.sum("bin_size").over(Window.partitionBy(*source).orderBy("bin")) - F.col("bin_size")
+    bins = bins.withColumn("bin_start", start).join(targets.select(*source, "rest"), source)
+    bins = bins.where((F.col("bin_start") <= F.col("rest")) & (F.col("rest") < F.col("bin_start") + F.col("bin_size"))).drop("bin_size")
+    groups = rows.join(bins, [*source, "bin"]).groupBy(*source, "bin_start", "rest", "key", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
+    inside = F.sum("words").over(Window.partitionBy(*source).orderBy("key", "size"))
+    groups = groups.withColumn("cut_start", F.col("bin_start") + inside - F.col("words"))
+    groups = groups.where((F.col("cut_start") <= F.col("rest")) & (F.col("rest") < F.col("cut_start") + F.col("words")))
+    return targets.join(groups.select(*source, F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), "cut_start"), source, "left")
+
+
 ORACLE = r"""
 WITH r AS (
   SELECT doc_id AS id, (source IS NULL)::INT AS no_source, coalesce(source, '') AS name,

@@ -105,16 +105,19 @@ def plain_words(text):
 
 
 def plain_report(docs, items, n=13):
+    owners = {}
+    for item, body in items:
+        own = plain_words(body)
+        width = min(n, len(own))
+        for i in range(len(own) - width + 1) if width else ():
+            owners.setdefault(width, {}).setdefault(tuple(own[i : i + width]), set()).add(str(item))
     for doc_id, text in docs:
         words, hit, found = plain_words(text), set(), set()
-        for item, body in items:
-            own = plain_words(body)
-            width = min(n, len(own))
-            windows = {tuple(own[i : i + width]) for i in range(len(own) - width + 1)} if width else ()
-            for i in range(len(words) - width + 1) if width else ():
+        for width, windows in owners.items():
+            for i in range(len(words) - width + 1):
                 if tuple(words[i : i + width]) in windows:
                     hit.update(range(i, i + width))
-                    found.add(str(item))
+                    found |= windows[tuple(words[i : i + width])]
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         yield doc_id, len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)
 
@@ -134,7 +137,6 @@ def test_decontamination_matches_brute_force(spark, docs_of, limit):
 def test_decontamination_query_and_modes(spark, docs_of):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    docs = [d for d in docs if len(d[1]) < 4000]
     got = {r.doc_id: tuple(r) for r in queries.op8_benchmark_decontamination(spark, SF).collect()}
     assert [got[d[0]] for d in docs] == list(plain_report(docs, items))
     table, bench = docs_of([(i, t, "s") for i, t in TEXTS]), spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -145,6 +147,19 @@ def test_decontamination_query_and_modes(spark, docs_of):
     assert decontamination.report(table.limit(0), bench).count() == 0 and decontamination.report(table, bench.limit(0)).count() == len(TEXTS)
 
 
+def test_long_and_repeated_items_are_scanned_in_even_parts(spark, docs_of):
+    """A benchmark of one very long item many times over: pieces hold the same windows, repeats count once, parts stay small."""
+    long = " ".join(f"v{i}" for i in range(9_000))
+    items = [(1, long)] * 20 + [(2, long.upper() + " tail")]
+    texts = [(k, " ".join(f"v{i}" for i in range(at, at + 15)) + " other" * 5) for k, at in enumerate((0, 4090, 4095, 8980, 8990))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    made = table.selectExpr("cast(item_id as string) AS item", "cast(text as binary) AS data").mapInArrow(decontamination.pieces(13), "item string, data binary")
+    assert made.distinct().count() == 6 and max(len(bytes(r.data).split()) for r in made.collect()) == 4096 + 12
+    for limit in (8 << 20, 30_000):
+        got = decontamination.report(docs_of([(i, t, "s") for i, t in texts]), table, broadcast_bytes=limit).collect()
+        assert key(tuple(r) for r in got) == key(plain_report(texts, items))
+
+
 def rows(pdf):
     return sorted(tuple(None if v != v else v for v in r) for r in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False)) if len(pdf) else []
 
@@ -179,3 +194,19 @@ def test_mix_hits_every_target(spark, docs_of, odd_rows, bin_rows):
         assert rs[0].target == pytest.approx(share[s]) and abs(sum(r.taken for r in rs) - share[s]) <= 0.5 and rs[0].source_size == size[s]
     assert mixing.mix(docs_of([])).count() == 0
     assert [r.taken for r in mixing.mix(docs_of([(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("bin_rows", [1, 7, 50_000])
+def test_mix_splits_rows_of_one_id_and_size(spark, docs_of, bin_rows):
+    """A third of the rows are alike and the cut falls among them; the others share few ids."""
+    rng = random.Random(3)
+    table = [(None, "a b c", "s")] * 60 + [(5, "w " * rng.randrange(5), "s") for _ in range(60)] + [(i, "x y", "s") for i in range(60)] + [(i, "z " * 40, "t") for i in range(60)]
+    con = duckdb.connect()
+    docs = docs_of(table).repartition(9)
+    con.register("documents", docs.select("doc_id", "source", "text").toPandas().astype({"doc_id": "Int64"}))
+    assert rows(mixing.mix(docs, bin_rows=bin_rows).toPandas().fillna(-1)) == rows(con.execute(mixing.ORACLE).fetchdf().fillna(-1))
+    for seed in range(6):
+        got = mixing.mix(docs, bin_rows=bin_rows, seed=f"s{seed}", weights=(1, 3)).collect()
+        for source in "st":
+            own = [r for r in got if r.source == source]
+            assert sum(r.taken for r in own) == int(own[0].target + 0.5) and len({r.taken - r.epochs_full * r.size for r in own} - {0, *{r.size for r in own}}) <= 1
