@@ -99,6 +99,22 @@ def test_max_pain_against_all_pairs(spark):
     assert pain[int(got.max_pain)] == pytest.approx(got.payout)
 
 
+def test_daily_iv_is_the_exact_mean_in_any_order(spark):
+    """Means over 64 quotes often end halfway between two six-digit values, where a sum of doubles depends on its order."""
+    rng = np.random.default_rng(5)
+    discounts = rng.integers(0, 11, (300, 64))
+    made = [(f"S{day}", float(x) / 100.0 * 3.0 + 0.10) for day, row in enumerate(discounts) for x in row]
+    halfway = sum(int(row.sum()) * 30_000 % 64 == 32 for row in discounts)
+    wanted = {f"S{day}": float((int(row.sum()) * 30_000 * 2 + 64) // 128 + 100_000) / 1e6 for day, row in enumerate(discounts)}
+    for rows in (made, made[::-1], sorted(made, key=lambda r: r[1])):
+        df = spark.createDataFrame(rows, "symbol string, implied_volatility double").coalesce(1).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+        assert halfway > 30 and {r.symbol: r.implied_volatility for r in chains.daily_iv(df).collect()} == wanted
+    odd = [("A", float("nan")), ("A", 0.1), ("B", None), ("B", 0.2), ("C", None), ("D", 1e30), ("D", 3e30)]
+    df = spark.createDataFrame(odd, "symbol string, implied_volatility double").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    got = {r.symbol: r.implied_volatility for r in chains.daily_iv(df).collect()}
+    assert math.isnan(got["A"]) and got["B"] == 0.2 and got["C"] is None and got["D"] == 2e30
+
+
 def test_linear_fit_against_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 3)) * [1, 10, 0.1] + [0, 100, 5]
