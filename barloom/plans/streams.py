@@ -132,13 +132,21 @@ add("st10_retention", _retained, KEY, ("close",), "SELECT * FROM bars WHERE ts::
 
 # --- message streams --------------------------------------------------------
 
+# A compressed file is read by one task: rows a file may have.
+FILE_ROWS = 200_000
+
+
+def _sent(messages, name):
+    """Messages as text files in a folder of their own; JSON repeats its names in every row, so the files are compressed."""
+    path = shared_dir(messages.sparkSession, name)
+    messages.write.option("maxRecordsPerFile", FILE_ROWS).text(path, compression="gzip")
+    return path
+
 
 def _bar_messages(s, d):
-    path = shared_dir(s, "bar-messages")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
     body = F.struct(*OHLC, "volume").alias("data")
-    a.bars_hourly(s, d).select(F.to_json(F.struct("symbol", stamp, body)).alias("value")).write.text(path)
-    return path
+    return _sent(a.bars_hourly(s, d).select(F.to_json(F.struct("symbol", stamp, body)).alias("value")), "bar-messages")
 
 
 def _bar_stream(s, d):
@@ -150,12 +158,11 @@ add("s01_bar_stream", _bar_stream, (*KEY, "volume"), OHLC, "SELECT * FROM bars",
 
 def _quote_stream(s, d):
     """Half of the messages flat, half wrapped the way the producer wraps them."""
-    path = shared_dir(s, "quote-messages")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")
     fields = ["symbol", "strike", F.col("expiration").cast("string").alias("expiration"), "option_type", "underlying_price", "implied_volatility"]
     flat = F.to_json(F.struct("options_ticker", stamp, *fields))
     nested = F.to_json(F.struct("options_ticker", stamp, F.struct(*fields).alias("data")))
-    a.quotes(s, d).select(F.when(F.col("volume") % 2 == 0, flat).otherwise(nested).alias("value")).write.text(path)
+    path = _sent(a.quotes(s, d).select(F.when(F.col("volume") % 2 == 0, flat).otherwise(nested).alias("value")), "quote-messages")
     return drained(s, readers.read_quote_stream(s, "text", {}, path), "quote-stream")
 
 

@@ -172,3 +172,21 @@ def test_three_sinks(spark, bars, tmp_path):
     jobs.finish(jobs.start_sinks(live, root, f"{root}/check", trigger=jobs.AVAILABLE, console=True))
     assert spark.read.parquet(f"{root}/table").count() == bars.count()
     assert spark.read.json(f"{root}/messages").count() == bars.count()
+
+
+def test_sent_messages_are_small_files_that_read_back_whole(spark, monkeypatch):
+    from urllib.parse import urlparse
+    from pathlib import Path
+
+    from barloom.plans import streams
+    from barloom.sources import readers
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 700)
+    made = spark.range(5_000).select(F.to_json(F.struct(F.concat(F.lit("S"), "id").alias("symbol"), F.lit("2024-01-01T00:00:00").alias("timestamp"),
+                                                        F.struct((F.col("id") / 7).alias("open"), F.lit(1.5).alias("high")).alias("data"))).alias("value"))
+    path = streams._sent(made, "sent")
+    files = [f for f in Path(urlparse(path).path).iterdir() if f.name.startswith("part-")]
+    assert len(files) >= 8 and sum(f.stat().st_size for f in files) < made.agg(F.sum(F.length("value"))).first()[0] / 3
+    back = readers.parse_bars(readers.read_messages(spark, "text", {}, path, stream=False))
+    wanted = readers.parse_bars(made)
+    assert back.exceptAll(wanted).count() == wanted.exceptAll(back).count() == 0 and back.count() == 5_000
