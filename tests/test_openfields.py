@@ -68,3 +68,18 @@ def test_metadata_is_updated_in_place(spark, tmp_path):
     stored = writers.read_current(spark, path)
     assert [r.id for r in stored.where(of.present("metadata", "$.deep")).collect()] == [1]
     assert stored.agg(F.sum(of.at("metadata", "$.score", "double")), F.max(of.at("metadata", "$.deep.list[0]", "int"))).first()[:] == (4.5, 3)
+
+
+def test_sent_text_is_the_object_sent(spark, messages):
+    rows = of.open_chain(messages).withColumn("expiration", F.col("expiration").cast("string"))
+    got = rows.select(F.to_json(of.untyped(of.CONTRACT)).alias("o"), of.untyped_json(of.CONTRACT).alias("t")).collect()
+    assert len(got) == 7 and [json.loads(r.t) for r in got] == [json.loads(r.o) for r in got]
+    nested = spark.sql("SELECT array(1, 2) AS many, named_struct('a', 1) AS one, CAST(NULL AS MAP<STRING, INT>) AS none, parse_json('{\"x\": null}') AS extra")
+    fields = {"many": ("many", "array<int>"), "one": ("One's", "struct<a:int>"), "none": ("none", "map<string,int>")}
+    row = nested.select(F.to_json(of.untyped(fields)).alias("o"), of.untyped_json(fields).alias("t")).first()
+    assert json.loads(row.t) == json.loads(row.o) == {"many": [1, 2], "One's": {"a": 1}, "x": None}
+
+
+def test_a_value_is_read_once_and_the_rest_knows_it(spark, messages):
+    plan = of.open_chain(messages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$['strike_price']") == 1 and plan.count("$['expiration_date']") == 1
