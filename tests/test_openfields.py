@@ -83,3 +83,10 @@ def test_sent_text_is_the_object_sent(spark, messages):
 def test_a_value_is_read_once_and_the_rest_knows_it(spark, messages):
     plan = of.open_chain(messages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("$['strike_price']") == 1 and plan.count("$['expiration_date']") == 1
+
+
+def test_census_of_a_map_is_that_of_the_object(spark, messages):
+    loose = of.census(of.open_chain(messages, as_map=True))
+    assert sorted(map(str, loose.collect())) == sorted(map(str, of.census(of.open_chain(messages)).collect())) and loose.count() == 4
+    plan = loose._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_variant_object" not in plan and plan.count("map_filter(") == 1
